@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import stream_dedup
+from strata.llm import packing, stream_dedup, token_counts
 from strata.llm.common import documents
 
 
@@ -25,5 +25,17 @@ SELECT n.doc_id, k.keep_id, k.group_size, n.doc_id = k.keep_id AS kept, n.text_s
 FROM n JOIN k USING (text_sha256)
 """
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup}
+def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op5_cost_packing": op5_cost_packing,
+    "op9_token_counts": op9_token_counts,
+}
 ORACLES = {"op2_exact_dedup": OP2_SQL}
