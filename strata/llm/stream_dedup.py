@@ -28,7 +28,11 @@ from pyspark.sql import functions as F
 from strata.llm.common import WHITE_BYTES, Workspace, shared_dir, utf8_values
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Many small stores: without fallocate each takes the disk it fills, not 4 MB and more.
+STREAM_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 Digest = Callable[[bytes], bytes]
@@ -78,8 +82,9 @@ def _advance_state(spark: SparkSession, state_dir: str, inbox: DataFrame) -> Dat
     def publish(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{state_dir}/changes/batch={batch:09d}")
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STREAM_CONF}
+    for key, value in STREAM_CONF.items():
+        spark.conf.set(key, value)
     try:
         (
             keyed.writeStream.outputMode("update")
@@ -90,7 +95,8 @@ def _advance_state(spark: SparkSession, state_dir: str, inbox: DataFrame) -> Dat
             .awaitTermination()
         )
     finally:
-        spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     changes = spark.read.schema(
         "digest binary, best struct<n_chars:long,rank:long,doc_id:long,locator:string>, group_size long, batch int"
     ).parquet(f"{state_dir}/changes")
