@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import packing, stream_dedup, token_counts
+from strata.llm import importance_resampling, language_bitmask, order_minhash, packing, secret_scan, source_mixing, stream_dedup, token_counts
 from strata.llm.common import documents
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -25,17 +29,77 @@ SELECT n.doc_id, k.keep_id, k.group_size, n.doc_id = k.keep_id AS kept, n.text_s
 FROM n JOIN k USING (text_sha256)
 """
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(documents(spark, sf_dir))
+
+
+def op4_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_bitmask.identify(documents(spark, sf_dir))
+
+
 def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix(documents(spark, sf_dir))
+
+
+# Weights 5, 2, 1 over the sources by code point; the capped sources are those of the
+# smallest 3 * size / weight, so one pass in that order finds where capping ends.
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size,
+         md5(concat('11:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS rank
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
+  FROM d GROUP BY source),
+o AS (
+  SELECT *, row_number() OVER (ORDER BY 3.0 * source_size / w, source NULLS LAST) AS i,
+         CAST((SELECT sum(source_size) FROM s) AS BIGINT) AS total
+  FROM s),
+c AS (
+  SELECT *, total - coalesce(CAST(sum(3 * source_size) OVER b AS BIGINT), 0) AS rest,
+         CAST(sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS BIGINT) AS free
+  FROM o WINDOW b AS (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT coalesce(min(i) FILTER (w * rest < 3 * source_size * free), 1 + count(*)) AS first_free FROM c),
+t AS (
+  SELECT c.source, c.source_size,
+         CASE WHEN c.i < f.first_free THEN CAST(3 * c.source_size AS DOUBLE)
+              ELSE CAST(c.w * x.rest AS DOUBLE) / x.free END AS target
+  FROM c CROSS JOIN f LEFT JOIN c x ON x.i = f.first_free),
+r AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS words,
+         coalesce(CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.rank, d.size
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0 ELSE
+         size * (words // source_size) + greatest(0, least(size, words % source_size - before)) END AS taken
+FROM r
+"""
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op1_importance_resampling": op1_importance_resampling,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_order_minhash": op3_order_minhash,
+    "op4_language_bitmask": op4_language_bitmask,
     "op5_cost_packing": op5_cost_packing,
+    "op7_source_mixing": op7_source_mixing,
+    "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op7_source_mixing": OP7_SQL}
