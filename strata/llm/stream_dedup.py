@@ -136,7 +136,9 @@ def exact_dedup(
         held = spark.read.parquet(*places) if places else docs
     texts = _arrivals(held, digest, with_body=True).select("doc_id", "digest", "body")
     hits = work.write(texts.join(shared.select("digest", "keep_id"), "digest"), "hits")
+    # a table of its own: a join of two tables lets a digest of many copies be split over tasks
     kept = hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("kept_body"))
+    kept = work.write(kept, "kept")
     checked = hits.join(kept, "digest").select("digest", (F.col("body") != F.col("kept_body")).alias("differs"))
     mixed = work.write(checked.filter("differs").select("digest").distinct(), "mixed")
 
