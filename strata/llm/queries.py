@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import importance_resampling, language_bitmask, order_minhash, packing, secret_scan, source_mixing, stream_dedup, token_counts
+from strata.llm import importance_resampling, language_bitmask, order_minhash, packing, secret_scan, source_mixing, stream_dedup, tensor_minhash, token_counts
 from strata.llm.common import documents
 
 
@@ -41,6 +41,10 @@ def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op6_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensor_minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(documents(spark, sf_dir))
 
@@ -98,6 +102,7 @@ QUERIES = {
     "op3_order_minhash": op3_order_minhash,
     "op4_language_bitmask": op4_language_bitmask,
     "op5_cost_packing": op5_cost_packing,
+    "op6_tensor_minhash": op6_tensor_minhash,
     "op7_source_mixing": op7_source_mixing,
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
