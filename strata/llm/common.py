@@ -56,7 +56,7 @@ def flat_utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string array without nulls, and the n + 1 offsets of its texts."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string())
+    texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if not len(texts) or texts.buffers()[2] is None:
         return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
