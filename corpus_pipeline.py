@@ -1,8 +1,59 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: quality, exact and near duplicates, the mix of sources, packing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage
+before it kept; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from strata.llm import importance_resampling, packing, source_mixing, stream_dedup, tensor_minhash
+from strata.llm.common import Workspace, documents
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling towards the labelled good ones draws."""
+    return importance_resampling.keep_resampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal normalised texts."""
+    return stream_dedup.keep_first_of_equal(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by similar sets of five-word shingles."""
+    return tensor_minhash.keep_one_of_near(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix of their sources takes them."""
+    return source_mixing.mixed_documents(docs)
+
+
+def cost_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as token sequences of even attention cost."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("mixing sources", source_mix),
+    ("packing", cost_packing),
+]
+
+#: Hashed n-gram models, near-duplicate links and byte-pair tokens have no SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    work = Workspace(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = work.write(docs, f"stage{i}")
+    return docs

@@ -104,43 +104,70 @@ def kth_greatest(values: DataFrame, k: int, hold: int = 20_000) -> float | None:
     return inside[k - 1]
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: int | None = None, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, log_weight, noisy_weight, kept."""
-    spark = docs.sparkSession
-    marks = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
-    fit = marks.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(FIT_ROWS).select("doc_id", "quality").collect()
-    good = {int(r.doc_id) for r in fit if r.quality == 1}
-    n, positive = marks.agg(F.count(F.lit(1)), F.count_if(F.col("quality") == 1)).first()
-    share = positive / max(1, n)
-    share = min(1.0, share + 2 * math.sqrt(share * (1 - share) / max(1, n)))
-    ratio = spark.sparkContext.broadcast(_models(docs, good) if good else np.zeros(BUCKETS))
+def _weigher(ratio, column: int, keep_all: bool):
+    """Append log_weight to each batch (or return doc_id and log_weight alone)."""
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, codes = word_or_mark_classes(), byte_codes()
         for batch in batches:
             weights = np.zeros(batch.num_rows)
-            for first, last, data, offsets in steps(batch.column(1)):
+            for first, last, data, offsets in steps(batch.column(column)):
                 gram, of = _grams(data, offsets, kinds, codes)
                 weights[first:last] = np.bincount(of, ratio.value[gram], minlength=last - first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weights)], ["doc_id", "log_weight"])
+            columns = batch.columns if keep_all else [batch.column(0)]
+            names = batch.schema.names if keep_all else ["doc_id"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(weights)], [*names, "log_weight"])
+
+    return weigh
+
 
+def _fit(docs: DataFrame, labels: DataFrame, seed: int):
+    """The broadcast log ratios, and the share to keep (None if no label is good)."""
+    marks = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
+    fit = marks.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(FIT_ROWS).select("doc_id", "quality").collect()
+    good = {int(r.doc_id) for r in fit if r.quality == 1}
+    n, positive = marks.agg(F.count(F.lit(1)), F.count_if(F.col("quality") == 1)).first()
+    share = positive / max(1, n)
+    share = min(1.0, share + 2 * math.sqrt(share * (1 - share) / max(1, n)))
+    ratio = docs.sparkSession.sparkContext.broadcast(_models(docs, good) if good else np.zeros(BUCKETS))
+    return ratio, share if good else None
+
+
+def _resample(docs: DataFrame, labels: DataFrame, keep: int | None, seed: int):
+    """(weights with noise, the broadcast log ratios, the least noisy weight that stays or None for all)."""
+    ratio, share = _fit(docs, labels, seed)
     weighed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(
-        weigh, "doc_id long, log_weight double"
+        _weigher(ratio, 1, keep_all=False), "doc_id long, log_weight double"
     )
-    weighed = Workspace(spark, "resample").write(
+    weighed = Workspace(docs.sparkSession, "resample").write(
         weighed.withColumn("noisy_weight", F.col("log_weight") + gumbel(seed, F.col("doc_id"))), "weights"
     )
-    if keep is None:
-        keep = math.ceil(weighed.count() * share) if good else None
-    least = kth_greatest(weighed.select("noisy_weight"), keep) if keep is not None else None
-    stays = F.lit(True) if least is None else F.col("noisy_weight") >= F.lit(least)
+    if keep is None and share is not None:
+        keep = math.ceil(weighed.count() * share)
     if keep is not None and keep <= 0:
-        stays = F.lit(False)
-    return weighed.withColumn("kept", stays)
+        return weighed, ratio, math.inf
+    return weighed, ratio, kth_greatest(weighed.select("noisy_weight"), keep) if keep is not None else None
 
 
-def keep_resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents of ``docs`` that resampling draws."""
-    kept = resample(docs, labels).filter("kept").select("doc_id").distinct()
-    key = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    return docs.join(kept, key, "left_semi").select(*docs.columns)
+def resample(docs: DataFrame, labels: DataFrame, keep: int | None = None, seed: int = SEED) -> DataFrame:
+    """One row per document: doc_id, log_weight, noisy_weight, kept."""
+    weighed, _, least = _resample(docs, labels, keep, seed)
+    return weighed.withColumn("kept", F.lit(True) if least is None else F.col("noisy_weight") >= F.lit(least))
+
+
+def keep_resampled(docs: DataFrame, labels: DataFrame, keep: int | None = None, seed: int = SEED) -> DataFrame:
+    """The documents of ``docs`` that resampling draws, with all their columns.
+
+    The texts are weighed once more where they are read, so none is shuffled.
+    """
+    _, ratio, least = _resample(docs, labels, keep, seed)
+    if least is None:
+        return docs
+    names = [f"c{i}" for i in range(len(docs.columns))]  # the columns' own names may clash with ours
+    plain = docs.toDF(*names)
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    plain = plain.withColumn(text, F.col(text).cast("string"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
+    weighed = plain.mapInArrow(_weigher(ratio, names.index(text), keep_all=True), f"{fields}, log_weight double")
+    stays = F.col("log_weight") + gumbel(seed, F.col(doc_id).cast("long")) >= F.lit(least)
+    return weighed.filter(stays).select(*names).toDF(*docs.columns)

@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import importance_resampling, language_bitmask, order_minhash, packing, secret_scan, source_mixing, stream_dedup, tensor_minhash, token_counts
+from strata.llm import (
+    column_bwt,
+    importance_resampling,
+    language_bitmask,
+    order_minhash,
+    packing,
+    secret_scan,
+    source_mixing,
+    stream_dedup,
+    tensor_minhash,
+    token_counts,
+)
 from strata.llm.common import documents
 
 
@@ -96,6 +107,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir))
 
 
+def op10_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_bwt.remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_exact_dedup": op2_exact_dedup,
@@ -106,5 +121,6 @@ QUERIES = {
     "op7_source_mixing": op7_source_mixing,
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
+    "op10_column_bwt": op10_column_bwt,
 }
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op7_source_mixing": OP7_SQL}

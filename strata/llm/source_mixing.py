@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.codes import word_classes
-from strata.llm.common import Workspace, flat_utf8
+from strata.llm.common import WORD, Workspace, flat_utf8
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -143,46 +143,34 @@ def _augmenting(start: tuple, flow: dict, drawn: dict, need: dict) -> list[tuple
     return None
 
 
-def mix(
-    docs: DataFrame,
-    members: Column | None = None,
-    weights: Sequence[int] = WEIGHTS,
-    epochs: int = EPOCHS,
-    seed: int = SEED,
-) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken.
+def _rank(doc_id: Column, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("long").cast("string"), F.lit(""))))
 
-    ``members`` is an array column of the sources that a document belongs to; by
-    default ``source`` alone.  source_size and target are those of the
-    document's only source, and null for one with several.
-    """
+
+def _mixed(docs: DataFrame, members: Column, weights: Sequence[int], epochs: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Every document's share (doc_id, pattern, rank, size, part), and the plan of each pattern."""
     spark = docs.sparkSession
-    work = Workspace(spark, "mixing")
-    if members is None:
-        members = F.array(docs["source"].cast("string"))
-    sized = work.write(words(docs, F.sort_array(F.array_distinct(members)).alias("pattern")), "sizes")
+    sized = Workspace(spark, "mixing").write(words(docs, members.alias("pattern")), "sizes")
     held = {tuple(r.pattern): r.size for r in sized.groupBy("pattern").agg(F.sum("size").alias("size")).collect()}
     own: dict[str | None, int] = {}
     for pattern, size in held.items():
         for s in pattern:
             own[s] = own.get(s, 0) + size
-    # a document of several sources counts for each; the targets share all words that exist
+    # a document of several sources counts for each; the targets share the words that there are
     target = quotas(list(own.items()), weights, epochs)
-    if len(own) and sum(own.values()) != sum(held.values()):
-        scale = sum(held.values()) / sum(own.values())
-        target = {s: q * scale for s, q in target.items()}
+    counted = sum(own.values())
+    if counted != sum(held.values()):
+        target = {s: q * sum(held.values()) / counted for s, q in target.items()}
     given = route(held, target, epochs)
 
     rows = []
     for pattern, size in held.items():
-        total = sum(given[pattern].values())
-        even, rest = divmod(total, size) if size else (0, 0)
-        only = pattern[0] if len(pattern) == 1 else None
-        single = len(pattern) == 1
-        rows.append((list(pattern), even, rest, own[only] if single else None, target[only] if single else None))
+        even, rest = divmod(sum(given[pattern].values()), size) if size else (0, 0)
+        only = len(pattern) == 1
+        rows.append((list(pattern), even, rest, own[pattern[0]] if only else None, target[pattern[0]] if only else None))
     plan = spark.createDataFrame(rows, "pattern array<string>, even long, rest long, source_size long, target double")
 
-    ranked = sized.withColumn("rank", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    ranked = sized.withColumn("rank", _rank(F.col("doc_id"), seed))
     ranked = ranked.withColumn("slice", F.conv(F.substring("rank", 1, SLICE_DIGITS), 16, 10).cast("int"))
     slices = ranked.groupBy("pattern", "slice").agg(F.sum("size").alias("n"))
     upto = Window.partitionBy("pattern").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -190,10 +178,61 @@ def mix(
     inside = Window.partitionBy("pattern", "slice").orderBy("rank", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("slices_before") + F.coalesce("rows_before", F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before))
-    return (
+    shares = (
         ranked.withColumn("rows_before", F.sum("size").over(inside))
-        .join(slices, (ranked["pattern"] == slices["pattern"]) & (ranked["slice"] == slices["slice"]))
-        .drop(slices["pattern"]).drop(slices["slice"])
+        .join(slices, ["pattern", "slice"])
         .join(plan, "pattern")
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("even") + part).cast("long").alias("taken"))
+        .select("doc_id", "pattern", "rank", "size", "source_size", "target", "even", part.alias("part"))
+    )
+    return shares, plan
+
+
+def _pattern(docs: DataFrame, members: Column | None) -> Column:
+    return F.sort_array(F.array_distinct(F.array(docs["source"].cast("string")) if members is None else members))
+
+
+def mix(
+    docs: DataFrame,
+    members: Column | None = None,
+    weights: Sequence[int] = WEIGHTS,
+    epochs: int = EPOCHS,
+    seed: int = SEED,
+) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken.
+
+    ``members`` is an array column of the sources that a document belongs to; by
+    default ``source`` alone.  source_size and target are those of the
+    document's only source, and null for one with several.
+    """
+    shares, _ = _mixed(docs, _pattern(docs, members), weights, epochs, seed)
+    taken = F.col("size") * F.col("even") + F.col("part")
+    return shares.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed_documents(
+    docs: DataFrame,
+    members: Column | None = None,
+    weights: Sequence[int] = WEIGHTS,
+    epochs: int = EPOCHS,
+    seed: int = SEED,
+) -> DataFrame:
+    """The mix itself: ``docs`` with each row as often as the mix takes it whole.
+
+    A document taken in part counts as taken if the part is half of it or more;
+    documents without a word are not taken.  Which rows are taken once more
+    follows from one rank per pattern, so the texts are not shuffled.
+    """
+    pattern = _pattern(docs, members)
+    shares, plan = _mixed(docs, pattern, weights, epochs, seed)
+    last = shares.filter("part > 0 AND 2 * part >= size").groupBy("pattern").agg(F.max("rank").alias("last"))
+    plan = plan.join(last, "pattern", "left").select("pattern", "even", "last")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.withColumn("_pattern_of_row", pattern).toDF(*names, "pattern")
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    times = F.col("even") + F.coalesce((_rank(doc_id, seed) <= F.col("last")).cast("long"), F.lit(0))
+    times = F.when(text.cast("string").rlike(WORD), times).otherwise(F.lit(0))
+    copies = F.when(times > 0, F.sequence(F.lit(1), times.cast("int")))
+    return (
+        plain.join(Workspace(docs.sparkSession, "mixing-plan").write(plan, "plan"), "pattern")
+        .withColumn("copy", F.explode(copies)).select(*names).toDF(*docs.columns)
     )

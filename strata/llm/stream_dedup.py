@@ -176,6 +176,9 @@ def _split_by_bytes(texts: DataFrame, inbox: DataFrame, mixed: DataFrame) -> Dat
 
 
 def keep_first_of_equal(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text equals one that stays."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """``docs`` without the rows whose text equals one that stays; of rows that repeat in full one stays."""
+    kept = Workspace(docs.sparkSession, "dedup-kept").write(exact_dedup(docs).filter("kept").select("doc_id"), "kept")
+    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    if not kept.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        found = found.dropDuplicates(["doc_id", "text"])
+    return found.select(*docs.columns)
