@@ -1,11 +1,8 @@
-"""The registered queries: name -> Spark query, name -> the same in SQL."""
+"""All registered queries of the engine's own operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from strata.plans import merging
+from strata.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "merging"]
