@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.plans import merging, ordering
+from strata.plans import coordination, history, matching_rules, merging, ordering
 from strata.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "merging", "ordering"]
+__all__ = ["ORACLES", "QUERIES", "coordination", "history", "matching_rules", "merging", "ordering"]
