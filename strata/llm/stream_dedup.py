@@ -140,7 +140,7 @@ def exact_dedup(
     kept = hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("kept_body"))
     kept = work.write(kept, "kept")
     checked = hits.join(kept, "digest").select("digest", (F.col("body") != F.col("kept_body")).alias("differs"))
-    mixed = work.write(checked.filter("differs").select("digest").distinct(), "mixed")
+    mixed = work.write(checked.filter("differs").select("digest"), "mixed").distinct()
 
     out = inbox.join(shared, "digest", "left").select(
         "doc_id",
