@@ -134,8 +134,8 @@ def exact_dedup(
     else:
         places = [r[0] for r in inbox.select("locator").distinct().toLocalIterator() if r[0]]
         held = spark.read.parquet(*places) if places else docs
-    texts = _arrivals(held, digest, with_body=True).select("doc_id", "digest", "body")
-    hits = work.write(texts.join(shared.select("digest", "keep_id"), "digest"), "hits")
+    texts = _arrivals(held, digest, with_body=True)
+    hits = work.write(texts.select("doc_id", "digest", "body").join(shared.select("digest", "keep_id"), "digest"), "hits")
     # a table of its own: a join of two tables lets a digest of many copies be split over tasks
     kept = hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("kept_body"))
     kept = work.write(kept, "kept")
@@ -150,7 +150,7 @@ def exact_dedup(
         "digest",
     )
     if not mixed.isEmpty():
-        out = out.join(mixed, "digest", "left_anti").unionByName(_split_by_bytes(texts, inbox, mixed))
+        out = out.join(mixed, "digest", "left_anti").unionByName(_split_by_bytes(texts.join(mixed, "digest")))
     return out.select(
         "doc_id",
         "keep_id",
@@ -160,13 +160,9 @@ def exact_dedup(
     )
 
 
-def _split_by_bytes(texts: DataFrame, inbox: DataFrame, mixed: DataFrame) -> DataFrame:
+def _split_by_bytes(rows: DataFrame) -> DataFrame:
     """Groups of the digests that different texts share, told apart by their bytes."""
-    rows = (
-        inbox.join(mixed, "digest")
-        .join(texts.join(mixed, "digest").select("doc_id", "body").distinct(), "doc_id")
-        .withColumn("rank", F.bitwise_not("doc_id"))
-    )
+    rows = rows.withColumn("rank", F.bitwise_not("doc_id"))
     best = rows.groupBy("digest", "body").agg(
         F.max(F.struct("n_chars", "rank", "doc_id")).alias("best"), F.count(F.lit(1)).alias("group_size")
     )
