@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.codes import byte_codes, mixed, powers, steps
-from strata.llm.common import Workspace, flat_utf8, utf8_values
+from strata.llm.common import Workspace, bit_table, flat_utf8, utf8_values
 
 LENGTH = 50
 GRAM = 16
@@ -188,17 +188,14 @@ def _held(table: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _bit_table(keys: DataFrame, size: int) -> np.ndarray:
-    """A table of ``size`` bits with two set for each key; at most size / 64 rows go to the driver."""
+    """A table of ``size`` bits with two set for each key."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bit = np.concatenate(_bits(batch.column(0).to_numpy().view(np.uint64), size))
             yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array(np.left_shift(np.int64(1), bit & 63))], ["word", "mask"])
 
-    rows = keys.select("key").mapInArrow(words, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    table = np.zeros(size // 64, np.uint64)
-    table[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
-    return table
+    return bit_table(keys.select("key").mapInArrow(words, "word long, mask long"), size)
 
 
 def _anchor_counts(texts: DataFrame, bits: int) -> DataFrame:

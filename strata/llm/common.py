@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space of every contract of this package.
 WHITE_BYTES = b" \t\n\x0b\x0c\r"
@@ -68,5 +69,26 @@ def utf8_values(texts: pa.Array) -> list[bytes]:
     return texts.cast(pa.binary()).to_pylist()
 
 
+def bit_table(bits: DataFrame, size: int) -> np.ndarray:
+    """A table of ``size`` bits, 64 to a word, from rows of (word, mask).
+
+    Words are merged and put into blocks of 8 KB on the executors, so the driver
+    gets size / 8 bytes at most and no row per word.
+    """
+    block = min(1024, size // 64)
+
+    def fill(table: pa.Table) -> pa.Table:
+        words = np.zeros(block, np.int64)
+        at = table.column("word").to_numpy()
+        np.bitwise_or.at(words, at % block, table.column("mask").to_numpy())
+        return pa.table({"block": pa.array([int(at[0]) // block], pa.int64()), "words": pa.array([words.tobytes()], pa.binary())})
+
+    merged = bits.groupBy("word").agg(F.bit_or("mask").alias("mask")).withColumn("block", F.floor(F.col("word") / block))
+    out = np.zeros(size // 64, np.uint64)
+    for r in merged.groupBy("block").applyInArrow(fill, "block long, words binary").collect():
+        out[r.block * block : (r.block + 1) * block] = np.frombuffer(r.words, np.uint64)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
