@@ -4,7 +4,7 @@ Two small collections of ``HALVES`` half-keys, each of ``ROWS`` minhashes, are
 combined pairwise into HALVES ** 2 table keys: the tables of 2 * ROWS rows that
 HALVES ** 2 * 2 * ROWS minhashes would give, for 2 * HALVES * ROWS of them.  A
 pair of Jaccard similarity s shares a key with probability
-(1 - (1 - s ** ROWS) ** HALVES) ** 2: 0.9985 at 0.8 and 0.99985 at 0.85.
+(1 - (1 - s ** ROWS) ** HALVES) ** 2: 0.9998 at 0.8 and 0.99999 at 0.85.
 
 Documents with equal shingle sets are one class.  Within the classes that share
 a key, links are confirmed on full shingle sets (64-bit hashes), never on
@@ -12,6 +12,10 @@ sketches, and without emitting all pairs of a group: a round picks one member of
 each group and compares with it the members that are not yet in its component.
 After ``STAR_ROUNDS`` rounds, whatever pairs of different components are still
 together under a key are all compared, so no link that shares a key is lost.
+Pairs that cannot reach the similarity are never made: shingles that no other
+candidate holds are in no intersection and in every union, which bounds a pair's
+similarity by the two sizes and the two numbers of such shingles.  Members of a
+large group of edited copies that differ too much from all others go by that.
 Components come from the links by iterated stars.
 
 Defined results: null and empty texts, and texts of white space, have an empty
@@ -26,16 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.codes import folded_codes, mixed, steps, token_hashes, word_classes
-from strata.llm.common import Workspace
+from strata.llm.common import Workspace, bit_table, flat_utf8
 from strata.llm.components import components
 
 WORDS = 4
 PERCENT = 80
-HALVES = 10
+HALVES = 13
 ROWS = 3
 STAR_ROUNDS = 3
 #: Bits of the filter that spares documents without any candidate; 1 MB at most is broadcast.
@@ -129,9 +133,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             bit = _filter_bit(low)
             yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array(np.left_shift(np.int64(1), bit & 63))], ["word", "mask"])
 
-    rows = wanted.select("digest").mapInArrow(bits, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    table = np.zeros(FILTER_BITS // 64, np.uint64)
-    table[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
+    table = bit_table(wanted.select("digest").mapInArrow(bits, "word long, mask long"), FILTER_BITS)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +157,28 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return docs.select(docs["text"].cast("string").alias("text")).mapInArrow(sets_of, "digest binary, members binary")
 
 
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(node, own): how many shingles of a candidate no other candidate holds."""
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array([len(x) // 8 for x in batch.column(1).to_pylist()], np.int64)
+            data, _ = flat_utf8(batch.column(1))
+            node = np.repeat(batch.column(0).to_numpy(), sizes)
+            shingle = np.frombuffer(data.tobytes(), np.int64)
+            for i in range(0, len(node), 500_000):
+                yield pa.RecordBatch.from_arrays([pa.array(node[i : i + 500_000]), pa.array(shingle[i : i + 500_000])], ["node", "shingle"])
+
+    held = sets.select("node", "members").mapInArrow(unfold, "node long, shingle long").groupBy("shingle")
+    alone = held.agg(F.min("node").alias("node"), F.max("node").alias("most")).filter("node = most")
+    return alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _may_link(n: Column, own: Column, other_n: Column, other_own: Column, percent: int) -> Column:
+    common = F.least(n - own, other_n - other_own)
+    return common * 100 >= (n + other_n - common) * percent
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
 
@@ -169,12 +193,9 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 passed.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["u", "v"]).filter(pa.array(passed, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("members").alias("x"))
-    right = sets.select(F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("members").alias("y"))
-    sized = pairs.join(left.drop("x"), "u").join(right.drop("y"), "v")
-    # no more than the smaller set can be common, no less than the greater be united
-    sized = sized.filter(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent).select("u", "v")
-    return sized.join(left.drop("n_u"), "u").join(right.drop("n_v"), "v").select("u", "v", "x", "y").mapInArrow(similar, "u long, v long")
+    left = sets.select(F.col("node").alias("u"), F.col("members").alias("x"))
+    right = sets.select(F.col("node").alias("v"), F.col("members").alias("y"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(similar, "u long, v long")
 
 
 def near_duplicates(
@@ -203,6 +224,10 @@ def near_duplicates(
     wanted = work.write(wanted, "wanted")
     sets = _full_sets(docs, wanted, words).dropDuplicates(["digest"]).join(wanted, "digest").select("node", "n", "members")
     sets = work.write(sets, "sets")
+    # without a link whatever the partner: more own shingles than may be missing
+    sizes = sets.select("node", "n").join(_own_shingles(sets), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    sizes = work.write(sizes.filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent), "sizes")
+    members = work.write(members.join(sizes, "node"), "linkable")
 
     labels, links, tested = None, None, None
     for i in range(star_rounds + 1):
@@ -211,18 +236,18 @@ def near_duplicates(
             at = at.withColumn("label", F.col("node"))
         else:
             at = at.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        groups = at.groupBy("key").agg(
-            F.min("label").alias("low"),
-            F.max("label").alias("high"),
-            F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("order"), "node", "label")).alias("c"),
-        ).filter("low < high")
+        order = F.struct("own", F.xxhash64("node", F.lit(i)).alias("order"), "node", "label", "n") if i == 0 else F.struct(
+            F.xxhash64("node", F.lit(i)).alias("order"), "node", "label", "n", "own"
+        )
+        groups = at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(order).alias("c")).filter("low < high")
         if i < star_rounds:
-            centre = groups.select("key", F.col("c.node").alias("other"), F.col("c.label").alias("other_label"))
+            centre = groups.select("key", "c.*")
         else:
-            mixed_groups = work.write(groups.select("key"), "mixed")
-            centre = at.join(mixed_groups, "key").select("key", F.col("node").alias("other"), F.col("label").alias("other_label"))
+            centre = at.join(work.write(groups.select("key"), "mixed"), "key")
+        centre = centre.select("key", *(F.col(x).alias(f"other_{x}") for x in ("node", "label", "n", "own"))).withColumnRenamed("other_node", "other")
+        possible = _may_link(F.col("n"), F.col("own"), F.col("other_n"), F.col("other_own"), percent)
         pairs = (
-            at.join(centre, "key").filter("label != other_label")
+            at.join(centre, "key").filter((F.col("label") != F.col("other_label")) & possible)
             .select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), "node")
             .groupBy("u", "v").agg(F.count(F.lit(1)).alias("keys"))
         )
