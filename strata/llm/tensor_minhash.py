@@ -253,7 +253,7 @@ def near_duplicates(
         )
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        if i == 0:  # one partner each, the one with most keys in common: most others are linked through it
+        if i == 0 < star_rounds:  # one partner each, the one with most keys in common: most others are linked through it
             ends = pairs.select(F.explode(F.array("u", "v")).alias("end"), F.struct("keys", "u", "v").alias("p"))
             pairs = ends.groupBy("end").agg(F.max("p").alias("p")).select("p.u", "p.v").distinct()
         pairs = work.write(pairs.select("u", "v"), f"pairs{i}")
