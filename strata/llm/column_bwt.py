@@ -17,11 +17,13 @@ of LENGTH bytes are brought together first.  In each window the gram of
 Runs of windows with one anchor are cut out as strings of fewer than
 LENGTH + WINDOW bytes.  Only those whose anchor occurs in two documents are
 shuffled, by anchor; equal strings become one, and every shard builds its
-collections.  An anchor that occurs more than ``HOT`` times is not gathered: its
+collections from the anchors that have several strings (a single string is in
+order as it is).  Of equal documents only the first takes part; the others go
+whole, as the first has every window of theirs.  An anchor that occurs more than ``HOT`` times is not gathered: its
 windows are dealt by their own bytes, and a combinable minimum takes the place
 of sorting equal ones.
 
-The two filters are bit tables of fixed size.  A filter that is too full lets
+The filters are bit tables of fixed size.  A filter that is too full lets
 strings through that match nothing; it never loses any.
 
 Defined results: null and empty texts have no bytes; a null doc_id counts as
@@ -53,6 +55,8 @@ SHARD_ROWS = 120_000
 #: Bits of the filters for repeated and for hot anchors: 8 MB and 128 KB.
 REPEATED_BITS = 1 << 26
 HOT_BITS = 1 << 20
+#: Bits of the filter that leaves out copies of whole documents: 4 MB.
+FIRST_BITS = 1 << 25
 LAST = (1 << 63) - 1
 
 
@@ -198,14 +202,14 @@ def _bit_table(keys: DataFrame, size: int) -> np.ndarray:
     return bit_table(keys.select("key").mapInArrow(words, "word long, mask long"), size)
 
 
-def _anchor_counts(texts: DataFrame, bits: int) -> DataFrame:
+def _anchor_counts(texts: DataFrame, bits: int, copies) -> DataFrame:
     """(key, docs, n) of the anchors' first ``bits`` bits: 1 or more documents, occurrences."""
     shift = np.uint64(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts_of = [], []
-            for first, _, data, offsets in steps(batch.column("text")):
+            keys, texts_of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for first, _, data, offsets in steps(_first_copies(batch, copies)[2]):
                 anchor, text, _, _ = anchors(data, offsets)
                 keys.append(anchor >> shift)
                 texts_of.append(text + first)
@@ -220,26 +224,44 @@ def _anchor_counts(texts: DataFrame, bits: int) -> DataFrame:
                 ["key", "docs", "n"],
             )
 
-    found = texts.select("text").mapInArrow(count, "key long, docs int, n int")
+    found = texts.mapInArrow(count, "key long, docs int, n int")
     return found.groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
 
 
-def _whole_hash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A hash of each whole text; with the doc_id it tells rows apart."""
-    power, inverse = powers(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte_codes()[data] * power[: len(data)], dtype=np.uint64)])
-    hashed = (sums[offsets[1:]] - sums[offsets[:-1]]) * inverse[offsets[:-1]]
-    return mixed(hashed + np.diff(offsets).astype(np.uint64)).view(np.int64)
+def _identities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, whole (64 bits of the digest), digest and n_bytes of each text."""
+    for batch in batches:
+        bodies = utf8_values(pc.fill_null(batch.column("text"), ""))
+        digests = [hashlib.sha256(x).digest() for x in bodies]
+        columns = [batch.column("doc_id"), _whole(digests), pa.array(digests, pa.binary()), pa.array([len(x) for x in bodies], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "whole", "digest", "n_bytes"])
+
+
+def _whole(digests: list[bytes]) -> pa.Array:
+    return pa.array([int.from_bytes(x[:8], "little", signed=True) for x in digests], pa.int64())
+
+
+def _row_key(doc_id: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return mixed(whole.astype(np.int64).view(np.uint64) ^ mixed(doc_id.astype(np.int64).view(np.uint64)))
 
 
-def _strings(texts: DataFrame, bits: int, repeated, hot, hot_only: bool) -> DataFrame:
+def _first_copies(batch: pa.RecordBatch, first) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """doc_id, whole and text of the rows that may be the first of their text; a few others slip through."""
+    texts = pc.fill_null(batch.column("text"), "")
+    whole = _whole([hashlib.sha256(x).digest() for x in utf8_values(texts)]).to_numpy()
+    ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+    kept = _held(first.value, _row_key(ids, whole))
+    return ids[kept], whole[kept], texts.filter(pa.array(kept))
+
+
+def _strings(texts: DataFrame, bits: int, copies, repeated, hot, hot_only: bool) -> DataFrame:
     """(anchor, doc_id, whole, start, string) of the runs whose anchor is repeated: the hot ones or the others."""
     shift = np.uint64(64 - bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for first, _, data, offsets in steps(batch.column("text")):
+            ids, whole, kept = _first_copies(batch, copies)
+            for first, _, data, offsets in steps(kept):
                 anchor, text, start, windows = anchors(data, offsets)
                 key = anchor >> shift
                 wanted = _held(repeated.value, key) & (_held(hot.value, key) == hot_only)
@@ -247,12 +269,11 @@ def _strings(texts: DataFrame, bits: int, repeated, hot, hot_only: bool) -> Data
                 size = windows + LENGTH - 1
                 ends = np.concatenate([[0], np.cumsum(size)])
                 take = np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)
-                whole = _whole_hash(data, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(anchor.view(np.int64)),
                         pa.array(ids[first + text]),
-                        pa.array(whole[text]),
+                        pa.array(whole[first + text]),
                         pa.array((start - offsets[text]).astype(np.int64)),
                         pa.Array.from_buffers(
                             pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[take])]
@@ -275,11 +296,16 @@ def _repeats_of_shard(table: pa.Table) -> pa.Table:
     owner = np.full(len(at) - 1, LAST)
     np.minimum.at(owner, number, ids)
 
-    # collections of whole anchors
+    windows = np.diff(at) - LENGTH + 1
+    first = np.cumsum(windows) - windows
+    least = np.repeat(owner, windows)
+
+    # collections of whole anchors, of those that have more than one string
     order = np.argsort(anchor, kind="stable")
-    sizes = np.diff(at)[order]
-    ends = at[1:][order]
     new = np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]])
+    several = np.repeat(np.diff(np.append(np.flatnonzero(new), len(order))) > 1, np.diff(np.append(np.flatnonzero(new), len(order))))
+    order, new = order[several], new[several]
+    sizes, ends = np.diff(at)[order], at[1:][order]
     bounds = np.flatnonzero(new)
     cuts, last = [0], 0
     for b in bounds[1:].tolist() + [len(order)]:
@@ -287,13 +313,12 @@ def _repeats_of_shard(table: pa.Table) -> pa.Table:
             cuts.append(last)
         last = b
     cuts.append(len(order))
-    least = np.concatenate(
-        [least_owner(data, ends[a:b], sizes[a:b], owner[order[a:b]], LENGTH) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    )
-    windows = np.empty(len(order), np.int64)
-    windows[order] = sizes - LENGTH + 1
-    first = np.empty(len(order), np.int64)
-    first[order] = np.cumsum(sizes - LENGTH + 1) - (sizes - LENGTH + 1)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a < b:
+            own = order[a:b]
+            found = least_owner(data, ends[a:b], sizes[a:b], owner[own], LENGTH)
+            into = np.repeat(first[own] - (np.cumsum(windows[own]) - windows[own]), windows[own]) + np.arange(len(found))
+            least[into] = found
 
     n = windows[number]
     row = np.repeat(np.arange(len(n)), n)
@@ -358,43 +383,64 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        whole = np.zeros(batch.num_rows, np.int64)
-        for first, last, data, offsets in steps(batch.column(1)):
-            whole[first:last] = _whole_hash(data, offsets)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(whole)], ["doc_id", "text", "whole"])
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, whole, runs): the windows of each document that a smaller doc_id has too."""
-    work = Workspace(docs.sparkSession, "column-bwt")
+def repeated_spans(docs: DataFrame, work: Workspace, first: DataFrame) -> DataFrame:
+    """(doc_id, whole, runs): the windows of each first copy that a smaller doc_id has too."""
     context = docs.sparkSession.sparkContext
-    texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("doc_id"), docs["text"].cast("string").alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = _texts(docs)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = _row_key(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
+
+    copies = context.broadcast(_bit_table(first.select("doc_id", "whole").mapInArrow(keys, "key long"), FIRST_BITS))
+    size = first.agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(64, max(32, (size // 16).bit_length() + 7))  # about one anchor in 18 bytes; under 1 in 100 meets another
-    counts = work.write(_anchor_counts(texts, bits).filter("docs > 1"), "anchors")
+    counts = work.write(_anchor_counts(texts, bits, copies).filter("docs > 1"), "anchors")
     strings = counts.agg(F.sum("n")).first()[0] or 0
     repeated = context.broadcast(_bit_table(counts, REPEATED_BITS))
     hot_keys = counts.filter(F.col("n") > HOT)
     hot = context.broadcast(_bit_table(hot_keys, HOT_BITS))
     shards = max(1, strings // SHARD_ROWS)
     found = (
-        _strings(texts, bits, repeated, hot, hot_only=False)
+        _strings(texts, bits, copies, repeated, hot, hot_only=False)
         .withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
         .groupBy("shard").applyInArrow(_repeats_of_shard, "doc_id long, whole long, start long, windows long")
     )
     if not hot_keys.isEmpty():
-        found = found.unionByName(_repeats_of_hot(_strings(texts, bits, repeated, hot, hot_only=True)))
+        found = found.unionByName(_repeats_of_hot(_strings(texts, bits, copies, repeated, hot, hot_only=True)))
     return found.groupBy("doc_id", "whole").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    spans = repeated_spans(docs).withColumnRenamed("doc_id", "owner")
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(
-        _with_hash, "doc_id long, text string, whole long"
+    work = Workspace(docs.sparkSession, "column-bwt")
+    rows = work.write(_texts(docs).mapInArrow(_identities, "doc_id long, whole long, digest binary, n_bytes long"), "rows")
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("whole").alias("whole"), F.first("n_bytes").alias("n_bytes"))
+    first = work.write(first, "first")
+    spans = repeated_spans(docs, work, first)
+
+    # later copies: all bytes stand in the first one
+    later = rows.join(first.select("digest", F.col("doc_id").alias("first_id")), "digest").filter("doc_id > first_id")
+    long_enough = F.col("n_bytes") >= LENGTH
+    gone = later.select(
+        F.nullif(F.col("doc_id"), F.lit(LAST)).alias("doc_id"), "n_bytes", F.when(long_enough, F.col("n_bytes")).otherwise(0).alias("n_removed"),
+        long_enough.cast("long").alias("n_spans"),
+        F.when(long_enough, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.lower(F.hex("digest"))).alias("kept_sha256"),
+    )
+
+    def with_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = [hashlib.sha256(x).digest() for x in utf8_values(pc.fill_null(batch.column("text"), ""))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, _whole(digests)], ["doc_id", "text", "whole"])
+
+    texts = _texts(docs).mapInArrow(with_whole, "doc_id long, text string, whole long")
+    joined = texts.join(first.select("doc_id", "whole"), ["doc_id", "whole"]).join(spans, ["doc_id", "whole"], "left")
+    cut = joined.select(F.nullif(F.col("doc_id"), F.lit(LAST)).alias("doc_id"), "text", "runs").mapInArrow(
+        _cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
-    key = (F.coalesce(texts["doc_id"], F.lit(LAST)) == spans["owner"]) & (texts["whole"] == spans["whole"])
-    joined = texts.join(spans, key, "left").select(texts["doc_id"], "text", "runs")
-    return joined.mapInArrow(_cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return cut.unionByName(gone)
