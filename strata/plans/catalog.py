@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.plans import coordination, history, matching_rules, merging, ordering, streams, texts
+from strata.plans import composite, coordination, history, matching_rules, merging, ordering, streams, texts
 from strata.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "coordination", "history", "matching_rules", "merging", "ordering", "streams", "texts"]
+__all__ = ["ORACLES", "QUERIES", "composite", "coordination", "history", "matching_rules", "merging", "ordering", "streams", "texts"]
