@@ -13,9 +13,10 @@ each group and compares with it the members that are not yet in its component.
 After ``STAR_ROUNDS`` rounds, whatever pairs of different components are still
 together under a key are all compared, so no link that shares a key is lost.
 Pairs that cannot reach the similarity are never made: shingles that no other
-candidate holds are in no intersection and in every union, which bounds a pair's
-similarity by the two sizes and the two numbers of such shingles.  Members of a
-large group of edited copies that differ too much from all others go by that.
+candidate holds are in no intersection, and of the others, counted in ``PARTS``
+parts by hash, no more can be common in a part than the smaller count.  Members
+of a large group of edited copies that differ too much from each other go by
+that.
 Components come from the links by iterated stars.
 
 Defined results: null and empty texts, and texts of white space, have an empty
@@ -41,7 +42,8 @@ WORDS = 4
 PERCENT = 80
 HALVES = 13
 ROWS = 3
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
+PARTS = 16
 #: Bits of the filter that spares documents without any candidate; 1 MB at most is broadcast.
 FILTER_BITS = 1 << 23
 
@@ -157,8 +159,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return docs.select(docs["text"].cast("string").alias("text")).mapInArrow(sets_of, "digest binary, members binary")
 
 
-def _own_shingles(sets: DataFrame) -> DataFrame:
-    """(node, own): how many shingles of a candidate no other candidate holds."""
+def _bounds(sets: DataFrame) -> DataFrame:
+    """(node, n, parts): set size, and by part the shingles that some other candidate holds too."""
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,13 +171,26 @@ def _own_shingles(sets: DataFrame) -> DataFrame:
             for i in range(0, len(node), 500_000):
                 yield pa.RecordBatch.from_arrays([pa.array(node[i : i + 500_000]), pa.array(shingle[i : i + 500_000])], ["node", "shingle"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.bincount(np.frombuffer(x, np.int64) & (PARTS - 1), minlength=PARTS).tolist() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.int32()))], ["node", "n", "held"])
+
     held = sets.select("node", "members").mapInArrow(unfold, "node long, shingle long").groupBy("shingle")
     alone = held.agg(F.min("node").alias("node"), F.max("node").alias("most")).filter("node = most")
-    return alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    part = F.col("shingle").bitwiseAND(F.lit(PARTS - 1))
+    own = alone.groupBy("node").agg(F.array(*(F.count_if(part == p).cast("int") for p in range(PARTS))).alias("own"))
+    total = sets.select("node", "n", "members").mapInArrow(count, "node long, n long, held array<int>")
+    shared = F.when(F.col("own").isNull(), F.col("held")).otherwise(F.zip_with("held", "own", lambda x, y: x - y))
+    return total.join(own, "node", "left").select("node", "n", shared.alias("parts"))
+
 
+def _sum(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0), lambda a, x: a + x)
 
-def _may_link(n: Column, own: Column, other_n: Column, other_own: Column, percent: int) -> Column:
-    common = F.least(n - own, other_n - other_own)
+
+def _may_link(n: Column, parts: Column, other_n: Column, other_parts: Column, percent: int) -> Column:
+    common = _sum(F.zip_with(parts, other_parts, lambda x, y: F.least(x, y)))
     return common * 100 >= (n + other_n - common) * percent
 
 
@@ -224,9 +239,8 @@ def near_duplicates(
     wanted = work.write(wanted, "wanted")
     sets = _full_sets(docs, wanted, words).dropDuplicates(["digest"]).join(wanted, "digest").select("node", "n", "members")
     sets = work.write(sets, "sets")
-    # without a link whatever the partner: more own shingles than may be missing
-    sizes = sets.select("node", "n").join(_own_shingles(sets), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    sizes = work.write(sizes.filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent), "sizes")
+    # what is left has no link, whatever the partner: too few of its shingles are held elsewhere
+    sizes = work.write(_bounds(sets).filter(_sum(F.col("parts")) * 100 >= F.col("n") * percent), "sizes")
     members = work.write(members.join(sizes, "node"), "linkable")
 
     labels, links, tested = None, None, None
@@ -236,16 +250,15 @@ def near_duplicates(
             at = at.withColumn("label", F.col("node"))
         else:
             at = at.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        order = F.struct("own", F.xxhash64("node", F.lit(i)).alias("order"), "node", "label", "n") if i == 0 else F.struct(
-            F.xxhash64("node", F.lit(i)).alias("order"), "node", "label", "n", "own"
-        )
+        # first the member that shares most: others are likely linked to it
+        order = F.struct((-_sum(F.col("parts"))).alias("order"), "node", "label", "n", "parts")
         groups = at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(order).alias("c")).filter("low < high")
         if i < star_rounds:
             centre = groups.select("key", "c.*")
         else:
             centre = at.join(work.write(groups.select("key"), "mixed"), "key")
-        centre = centre.select("key", *(F.col(x).alias(f"other_{x}") for x in ("node", "label", "n", "own"))).withColumnRenamed("other_node", "other")
-        possible = _may_link(F.col("n"), F.col("own"), F.col("other_n"), F.col("other_own"), percent)
+        centre = centre.select("key", *(F.col(x).alias(f"other_{x}") for x in ("node", "label", "n", "parts"))).withColumnRenamed("other_node", "other")
+        possible = _may_link(F.col("n"), F.col("parts"), F.col("other_n"), F.col("other_parts"), percent)
         pairs = (
             at.join(centre, "key").filter((F.col("label") != F.col("other_label")) & possible)
             .select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), "node")
