@@ -11,7 +11,8 @@ a key, links are confirmed on full shingle sets (64-bit hashes), never on
 sketches, and without emitting all pairs of a group: a round picks one member of
 each group and compares with it the members that are not yet in its component.
 After ``STAR_ROUNDS`` rounds, whatever pairs of different components are still
-together under a key are all compared, so no link that shares a key is lost.
+together under a key are all compared, so no link that shares a key is lost.  A
+pair that shares many keys is made under the first of them alone.
 Pairs that cannot reach the similarity are never made: shingles that no other
 candidate holds are in no intersection, and of the others, counted in ``PARTS``
 parts by hash, no more can be common in a part than the smaller count.  Members
@@ -84,17 +85,17 @@ def set_digests(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 def half_keys(sets: np.ndarray, at: np.ndarray, halves: int, rows: int) -> np.ndarray:
-    """2 * halves half-keys for each text whose set is not empty."""
+    """2 * halves half-keys of 32 bits for each text whose set is not empty."""
     starts = at[:-1][np.diff(at) > 0]
     random = np.random.default_rng(61)
-    keys = np.empty((len(starts), 2 * halves), np.int64)
+    keys = np.empty((len(starts), 2 * halves), np.int32)
     for i in range(2 * halves):
         key = np.full(len(starts), i + 1, np.uint64)
         for j in range(rows):
             flip, times = random.integers(0, 1 << 63, 2, dtype=np.uint64)
             least = np.minimum.reduceat((sets ^ flip) * (times * np.uint64(2) + np.uint64(1)), starts) if len(starts) else key
             key = mixed(key * _TIMES[j] + least)
-        keys[:, i] = key.view(np.int64)
+        keys[:, i] = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
     return keys
 
 
@@ -118,7 +119,7 @@ def _sketches(docs: DataFrame, words: int, halves: int, rows: int) -> DataFrame:
                 )
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(
-        sketch, "doc_id long, n_shingles long, digest binary, a array<long>, b array<long>"
+        sketch, "doc_id long, n_shingles long, digest binary, a array<int>, b array<int>"
     )
 
 
@@ -194,6 +195,15 @@ def _may_link(n: Column, parts: Column, other_n: Column, other_parts: Column, pe
     return common * 100 >= (n + other_n - common) * percent
 
 
+def _first_shared(a: Column, b: Column, other_a: Column, other_b: Column) -> Column:
+    """The first key that two rows of half-keys have in common; null without any."""
+
+    def first(x: Column, y: Column) -> Column:
+        return F.get(x, (F.array_position(F.zip_with(x, y, lambda p, q: p == q), True) - 1).cast("int"))
+
+    return F.xxhash64(first(a, other_a), first(b, other_b))
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
 
@@ -253,17 +263,23 @@ def near_duplicates(
         # first the member that shares most: others are likely linked to it
         order = F.struct((-_sum(F.col("parts"))).alias("order"), "node", "label", "n", "parts")
         groups = at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(order).alias("c")).filter("low < high")
+        possible = _may_link(F.col("n"), F.col("parts"), F.col("other_n"), F.col("other_parts"), percent)
         if i < star_rounds:
-            centre = groups.select("key", "c.*")
+            centre = groups.select("key", *(F.col(f"c.{x}").alias(f"other_{x}") for x in ("node", "label", "n", "parts")))
+            pairs = (
+                at.join(centre, "key").filter((F.col("label") != F.col("other_label")) & possible)
+                .select(F.least("node", "other_node").alias("u"), F.greatest("node", "other_node").alias("v"))
+                .groupBy("u", "v").agg(F.count(F.lit(1)).alias("keys"))
+            )
         else:
-            centre = at.join(work.write(groups.select("key"), "mixed"), "key")
-        centre = centre.select("key", *(F.col(x).alias(f"other_{x}") for x in ("node", "label", "n", "parts"))).withColumnRenamed("other_node", "other")
-        possible = _may_link(F.col("n"), F.col("parts"), F.col("other_n"), F.col("other_parts"), percent)
-        pairs = (
-            at.join(centre, "key").filter((F.col("label") != F.col("other_label")) & possible)
-            .select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), "node")
-            .groupBy("u", "v").agg(F.count(F.lit(1)).alias("keys"))
-        )
+            at = at.join(work.write(groups.select("key"), "mixed"), "key").join(nodes.select("node", "a", "b"), "node")
+            at = work.write(at, "together")
+            other = at.select("key", *(F.col(x).alias(f"other_{x}") for x in ("node", "label", "n", "parts", "a", "b")))
+            once = _first_shared(F.col("a"), F.col("b"), F.col("other_a"), F.col("other_b")) == F.col("key")
+            pairs = (
+                at.join(other, "key").filter((F.col("node") < F.col("other_node")) & (F.col("label") != F.col("other_label")) & possible & once)
+                .select(F.col("node").alias("u"), F.col("other_node").alias("v"))
+            )
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         if i == 0 < star_rounds:  # one partner each, the one with most keys in common: most others are linked through it
