@@ -19,9 +19,10 @@ LENGTH + WINDOW bytes.  Only those whose anchor occurs in two documents are
 shuffled, by anchor; equal strings become one, and every shard builds its
 collections from the anchors that have several strings (a single string is in
 order as it is).  Of equal documents only the first takes part; the others go
-whole, as the first has every window of theirs.  An anchor that occurs more than ``HOT`` times is not gathered: its
-windows are dealt by their own bytes, and a combinable minimum takes the place
-of sorting equal ones.
+whole, as the first has every window of theirs.  An anchor that occurs more
+than ``HOT`` times is not gathered: the windows of its distinct strings are dealt
+by their own bytes, and a combinable minimum takes the place of sorting equal
+ones.
 
 The filters are bit tables of fixed size.  A filter that is too full lets
 strings through that match nothing; it never loses any.
@@ -39,7 +40,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.codes import byte_codes, mixed, powers, steps
@@ -340,23 +341,39 @@ def _repeats_of_shard(table: pa.Table) -> pa.Table:
     )
 
 
-def _repeats_of_hot(strings: DataFrame) -> DataFrame:
-    """The same for hot anchors: every window by its own bytes."""
+def _repeats_of_hot(strings: DataFrame, work: Workspace) -> DataFrame:
+    """The same for hot anchors: every window of the distinct strings by its own bytes.
+
+    What occurs often is mostly the same string again, so strings are made one
+    before they are taken apart, and each occurrence takes the runs of its string.
+    """
+    strings = work.write(strings, "hot")
+    kinds = strings.groupBy("string").agg(F.min("doc_id").alias("owner"))
+    kinds = work.write(kinds.withColumn("id", F.monotonically_increasing_id()), "kinds")
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            columns = (batch.column(i).to_pylist() for i in (1, 2, 3, 4))
-            for doc_id, whole, start, string in zip(*columns, strict=True):
-                out += [(doc_id, whole, start + i, string[i : i + LENGTH]) for i in range(len(string) - LENGTH + 1)]
+            for number, owner, string in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                out += [(number, owner, i, string[i : i + LENGTH]) for i in range(len(string) - LENGTH + 1)]
             for k in range(0, len(out), 50_000):
                 own = list(zip(*out[k : k + 50_000], strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(own, kinds, strict=True)], ["doc_id", "whole", "start", "window"])
-
-    windows = strings.mapInArrow(single, "doc_id long, whole long, start long, window binary")
-    least = windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    return windows.join(least.drop("most"), "window").filter("least < doc_id").select("doc_id", "whole", "start", F.lit(1).cast("long").alias("windows"))
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(own, types, strict=True)], ["id", "owner", "at", "window"])
+
+    windows = kinds.select("id", "owner", "string").mapInArrow(single, "id long, owner long, at int, window binary")
+    least = windows.groupBy("window").agg(F.min("owner").alias("least"))
+    # runs of windows with one least document; a string has at most WINDOW of them
+    nth = F.row_number().over(Window.partitionBy("id", "least").orderBy("at"))
+    runs = (
+        windows.join(least, "window").select("id", "least", "at", (F.col("at") - nth).alias("island"))
+        .groupBy("id", "least", "island").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("windows"))
+        .groupBy("id").agg(F.collect_list(F.struct("least", "at", "windows")).alias("runs"))
+    )
+    by_string = work.write(runs.join(kinds, "id").select("string", "runs"), "hot-runs")
+    again = F.filter("runs", lambda r: r["least"] < F.col("doc_id"))
+    found = strings.join(by_string, "string").select("doc_id", "whole", "start", F.explode(again).alias("run"))
+    return found.select("doc_id", "whole", (F.col("start") + F.col("run.at")).alias("start"), F.col("run.windows").alias("windows"))
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,7 +429,7 @@ def repeated_spans(docs: DataFrame, work: Workspace, first: DataFrame) -> DataFr
         .groupBy("shard").applyInArrow(_repeats_of_shard, "doc_id long, whole long, start long, windows long")
     )
     if not hot_keys.isEmpty():
-        found = found.unionByName(_repeats_of_hot(_strings(texts, bits, copies, repeated, hot, hot_only=True)))
+        found = found.unionByName(_repeats_of_hot(_strings(texts, bits, copies, repeated, hot, hot_only=True), work))
     return found.groupBy("doc_id", "whole").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
 
 
