@@ -53,6 +53,8 @@ HOT = 4000
 #: Strings that one construction takes at most (more only if one anchor has more), and rows of a shard.
 COLLECTION = 16_384
 SHARD_ROWS = 120_000
+#: Bytes of text whose anchors are found at once: their 64-bit hashes stay in the cache.
+STEP = 1 << 16
 #: Bits of the filters for repeated and for hot anchors: 8 MB and 128 KB.
 REPEATED_BITS = 1 << 26
 HOT_BITS = 1 << 20
@@ -210,7 +212,7 @@ def _anchor_counts(texts: DataFrame, bits: int, copies) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts_of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for first, _, data, offsets in steps(_first_copies(batch, copies)[2]):
+            for first, _, data, offsets in steps(_first_copies(batch, copies)[2], STEP):
                 anchor, text, _, _ = anchors(data, offsets)
                 keys.append(anchor >> shift)
                 texts_of.append(text + first)
@@ -262,7 +264,7 @@ def _strings(texts: DataFrame, bits: int, copies, repeated, hot, hot_only: bool)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, whole, kept = _first_copies(batch, copies)
-            for first, _, data, offsets in steps(kept):
+            for first, _, data, offsets in steps(kept, STEP):
                 anchor, text, start, windows = anchors(data, offsets)
                 key = anchor >> shift
                 wanted = _held(repeated.value, key) & (_held(hot.value, key) == hot_only)
