@@ -349,7 +349,6 @@ def _repeats_of_hot(strings: DataFrame, work: Workspace) -> DataFrame:
     What occurs often is mostly the same string again, so strings are made one
     before they are taken apart, and each occurrence takes the runs of its string.
     """
-    strings = work.write(strings, "hot")
     kinds = strings.groupBy("string").agg(F.min("doc_id").alias("owner"))
     kinds = work.write(kinds.withColumn("id", F.monotonically_increasing_id()), "kinds")
 
