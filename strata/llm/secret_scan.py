@@ -5,10 +5,15 @@ token-efficiency test adds what no pattern names: runs of key characters that a
 tokenizer's vocabulary, learned from ordinary text, can only spell in short
 pieces.  A run of at least ``LEAST_RUN`` characters with at most ``RATIO``
 characters per token is random, unless it is a known digest (hex of the length
-of a common hash), a UUID, a number, or an identifier made of words.
+of a common hash), a UUID, a number, or an identifier made of words.  In a run
+that passes as a whole, the parts between separators and the stretches of tokens
+that slide over it, ``LEAST_RUN`` characters or a little more, are held to the
+same ratio, so words beside a secret do not cover it.  There separators, numbers
+and single characters between separators count neither way.
 
 Offsets are code points, ends exclusive.  Defined results: null and empty texts
-have no spans; a run that overlaps a pattern's span adds none; rows that repeat
+have no spans; of a run that overlaps a pattern's span the rest is tested, and
+failing stretches that overlap or touch are one span; rows that repeat
 each get a row; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -40,6 +45,8 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN)
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+INNER_UUID = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])")
+PART = re.compile(r"[A-Za-z0-9]+")
 IDENTIFIER = re.compile(r"[_=+/-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_=+/-]+|$))+|(?:[A-Z]?[a-z]{2,})+[0-9]*")
 
 
@@ -61,14 +68,64 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
+def rests(run: str, at: int, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """What of the run, which starts at ``at``, stands outside the spans, the UUIDs and the digests in it."""
+    gone = [(max(a - at, 0), b - at) for _, a, b in taken if a < at + len(run) and at < b]
+    gone += [m.span() for m in INNER_UUID.finditer(run)]
+    gone += [m.span() for m in PART.finditer(run) if len(m[0]) in DIGEST_LENGTHS and DIGEST.fullmatch(m[0])]
+    begin = 0
+    for a, b in [*sorted(gone), (len(run), len(run))]:
+        if a - begin >= LEAST_RUN:
+            yield begin, a
+        begin = max(begin, b)
+
+
+def stretches(run: str, sizes: list[int], ratio: float) -> list[tuple[int, int]]:
+    """The parts and sliding stretches of the run, given as its tokens' sizes, that fail the ratio; merged."""
+    counts = [False] * len(run)
+    for m in PART.finditer(run):
+        if len(m[0]) > 1 and not m[0].isdigit():
+            counts[m.start() : m.end()] = [True] * len(m[0])
+    ends, chars, tokens = [0], [0], [0]  # of the first i tokens; a token never crosses the end of a part
+    for size in sizes:
+        counted = counts[ends[-1]]
+        ends.append(ends[-1] + size)
+        chars.append(chars[-1] + size * counted)
+        tokens.append(tokens[-1] + counted)
+    place = {end: i for i, end in enumerate(ends)}
+    tested = [(place[m.start()], place[m.end()]) for m in PART.finditer(run) if len(m[0]) >= LEAST_RUN]
+    j = 0
+    for i in range(len(sizes)):
+        while j < len(sizes) and ends[j] - ends[i] < LEAST_RUN:
+            j += 1
+        if ends[j] - ends[i] < LEAST_RUN:
+            break
+        tested.append((i, j))
+    merged: list[tuple[int, int]] = []
+    for i, j in sorted(tested):
+        n = chars[j] - chars[i]
+        if 2 * n < LEAST_RUN or n > ratio * (tokens[j] - tokens[i]) or known(run[ends[i] : ends[j]]):
+            continue
+        if merged and ends[i] <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(merged[-1][1], ends[j]))
+        else:
+            merged.append((ends[i], ends[j]))
+    return merged
+
+
 def random_spans(text: str, taken: list[tuple[str, int, int]], encode, ratio: float = RATIO) -> list[tuple[str, int, int]]:
     spans = []
     for m in RUN.finditer(text):
-        run = m.group()
-        if any(start < m.end() and m.start() < end for _, start, end in taken) or known(run):
+        run, at = m.group(), m.start()
+        if known(run):
             continue
-        if len(run) <= ratio * len(encode(run)):
-            spans.append(("token", m.start(), m.end()))
+        free = not any(start < m.end() and at < end for _, start, end in taken)
+        if free and len(run) <= ratio * len(encode(run)):
+            spans.append(("token", at, m.end()))
+            continue
+        for a, b in rests(run, at, taken):
+            sizes = [len(x) for x in encode(run[a:b])]
+            spans += [("token", at + a + x, at + a + y) for x, y in stretches(run[a:b], sizes, ratio)]
     return spans
 
 
@@ -80,7 +137,11 @@ def scan(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = RATIO) ->
     """One row per document: doc_id, n_assign, n_access, n_hex, n_token, base_sha256, spans."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = merges(vocabulary).encode_ordinary
+        coding = merges(vocabulary)
+
+        def encode(run: str) -> list[bytes]:
+            return coding.decode_tokens_bytes(coding.encode_ordinary(run))
+
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]
             hashes, lists = [], []
