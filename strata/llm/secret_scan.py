@@ -9,7 +9,10 @@ of a common hash), a UUID, a number, or an identifier made of words.  In a run
 that passes as a whole, the parts between separators and the stretches of tokens
 that slide over it, ``LEAST_RUN`` characters or a little more, are held to the
 same ratio, so words beside a secret do not cover it.  There separators, numbers
-and single characters between separators count neither way.
+and single characters between separators count neither way.  A run that has the
+form of an identifier (letters of one case or capitalized, numbers, separators)
+is judged in this second way alone: it is made of words if the vocabulary spells
+its parts in long pieces.
 
 Offsets are code points, ends exclusive.  Defined results: null and empty texts
 have no spans; of a run that overlaps a pattern's span the rest is tested, and
@@ -51,10 +54,8 @@ IDENTIFIER = re.compile(r"[_=+/-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_=+/-]+|$
 
 
 def known(run: str) -> bool:
-    """Whether the run is a digest, a UUID, or an identifier of words and numbers."""
-    if DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS:
-        return True
-    return bool(UUID.fullmatch(run) or IDENTIFIER.fullmatch(run))
+    """Whether the run is a digest or a UUID."""
+    return bool(UUID.fullmatch(run) or len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -81,7 +82,7 @@ def rests(run: str, at: int, taken: list[tuple[str, int, int]]) -> Iterator[tupl
 
 
 def stretches(run: str, sizes: list[int], ratio: float) -> list[tuple[int, int]]:
-    """The parts and sliding stretches of the run, given as its tokens' sizes, that fail the ratio; merged."""
+    """The run, its parts and its sliding stretches, by its tokens' sizes, where they fail the ratio; merged."""
     counts = [False] * len(run)
     for m in PART.finditer(run):
         if len(m[0]) > 1 and not m[0].isdigit():
@@ -93,7 +94,8 @@ def stretches(run: str, sizes: list[int], ratio: float) -> list[tuple[int, int]]
         chars.append(chars[-1] + size * counted)
         tokens.append(tokens[-1] + counted)
     place = {end: i for i, end in enumerate(ends)}
-    tested = [(place[m.start()], place[m.end()]) for m in PART.finditer(run) if len(m[0]) >= LEAST_RUN]
+    tested = [(0, len(sizes))]
+    tested += [(place[m.start()], place[m.end()]) for m in PART.finditer(run) if len(m[0]) >= LEAST_RUN]
     j = 0
     for i in range(len(sizes)):
         while j < len(sizes) and ends[j] - ends[i] < LEAST_RUN:
@@ -119,7 +121,7 @@ def random_spans(text: str, taken: list[tuple[str, int, int]], encode, ratio: fl
         run, at = m.group(), m.start()
         if known(run):
             continue
-        free = not any(start < m.end() and at < end for _, start, end in taken)
+        free = not IDENTIFIER.fullmatch(run) and not any(start < m.end() and at < end for _, start, end in taken)
         if free and len(run) <= ratio * len(encode(run)):
             spans.append(("token", at, m.end()))
             continue

@@ -465,6 +465,19 @@ def test_secrets_beside_words_are_found(spark):
             assert any(x <= a + 2 and y >= b - 2 for x, y in found), texts[r.doc_id]
 
 
+def test_secrets_of_one_case_and_grouped_are_found(spark):
+    upper = string.ascii_uppercase
+    keys = [k for letters in (string.ascii_lowercase, upper) for n in (16, 24, 32, 64) for k in random_keys(letters, n)]
+    keys += ["-".join(k[i : i + 5] for i in range(0, 20, 5)) for letters in (upper, upper + string.digits) for k in random_keys(letters, 20)]
+    keys += ["ABCDE-FGHIJ-12345-KLMNO"] * 40
+    plain = ["some_long_identifier_name_here", "MAX_CONNECTION_RETRY_COUNT", "getElementsByTagNameAndAttributeValue", "a-b-c-d-e-f-g-h-i-j-k", "2026-11-27-12-00-00-123456", "internationalization"]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(keys + plain)], SCHEMA)
+    found = {r.doc_id: r.n_token for r in secret_scan.scan(df).collect()}
+    for begin in range(0, len(keys), 40):
+        assert sum(found[i] > 0 for i in range(begin, begin + 40)) >= 30, keys[begin]
+    assert [t for i, t in enumerate(plain, len(keys)) if found[i]] == []
+
+
 # 10 -----------------------------------------------------------------------------------------
 
 
