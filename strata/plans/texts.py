@@ -15,6 +15,12 @@ d AS (SELECT * FROM s WHERE len(l) >= 5 AND len(list_distinct(l)) = len(l) AND l
 """
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their lines: short ones, repeated lines and empty texts too; null reads as empty."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return d.withColumn("l", F.split("text", "\n", -1))
+
+
 def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of five lines or more, none of which repeats."""
     lines = F.split("text", "\n", -1)
@@ -29,7 +35,21 @@ def _replaced(at: Column, line: str) -> Column:
 @query(PLAIN_SQL + "SELECT doc_id, CAST(len(l) - 1 AS BIGINT) AS kept, CAST(1 AS BIGINT) AS removed, CAST(1 AS BIGINT) AS added FROM d")
 def myers_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit scripts of documents against themselves with the third line rewritten."""
-    d = _plain(spark, sf_dir).select("doc_id", L.edit_script_udf(F.col("text"), _replaced(F.lit(2), "rewritten")).alias("ops"))
+    return _script_counts(_plain(spark, sf_dir), F.lit(2))
+
+
+@query()
+def myers_ops_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``myers_ops`` over every document; the last line is rewritten where there is no third."""
+    return _script_counts(_documents(spark, sf_dir), _third())
+
+
+def _third() -> Column:
+    return F.least(F.lit(2), F.size("l") - 1)
+
+
+def _script_counts(d: DataFrame, at: Column) -> DataFrame:
+    d = d.select("doc_id", L.edit_script_udf(F.col("text"), _replaced(at, "rewritten")).alias("ops"))
 
     def count(op: str) -> Column:
         return F.size(F.filter("ops", lambda o: o["op"] == op)).cast("long")
@@ -40,8 +60,18 @@ def myers_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(PLAIN_SQL + "SELECT doc_id, array_to_string(list_concat(['OURS'], l[2:len(l)-1], ['THEIRS']), E'\\n') AS merged, CAST(0 AS INTEGER) AS conflicts FROM d")
 def diff3_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ours rewrites the first line, theirs the last: both stand in the merge."""
+    return _both_ends(_plain(spark, sf_dir))
+
+
+@query()
+def diff3_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``diff3_merge`` over every document; in texts of one or two lines the sides meet in a conflict."""
+    return _both_ends(_documents(spark, sf_dir))
+
+
+def _both_ends(d: DataFrame) -> DataFrame:
     ours, theirs = _replaced(F.lit(0), "OURS"), _replaced(F.size("l") - 1, "THEIRS")
-    return _plain(spark, sf_dir).select("doc_id", L.merged_text(F.col("text"), ours, theirs).alias("m")).select("doc_id", "m.merged", "m.conflicts")
+    return d.select("doc_id", L.merged_text(F.col("text"), ours, theirs).alias("m")).select("doc_id", "m.merged", "m.conflicts")
 
 
 @query(PLAIN_SQL + """
@@ -50,10 +80,19 @@ SELECT doc_id % 4 AS side, count(*) AS files, CAST(sum(CASE WHEN doc_id % 4 = 3
 """)
 def merge_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: files merged three ways, reported by which side changed (0 none, 1 ours, 2 theirs, 3 both differently)."""
+    return _merge_report(_plain(spark, sf_dir), F.lit(2))
+
+
+@query()
+def merge_preview_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``merge_preview`` over every document; the last line is changed where there is no third."""
+    return _merge_report(_documents(spark, sf_dir), _third())
+
+
+def _merge_report(d: DataFrame, at: Column) -> DataFrame:
     side = F.col("doc_id") % 4
-    d = _plain(spark, sf_dir)
-    ours = F.when(side.isin(1, 3), _replaced(F.lit(2), "ours")).otherwise(F.col("text"))
-    theirs = F.when(side.isin(2, 3), _replaced(F.lit(2), "theirs")).otherwise(F.col("text"))
+    ours = F.when(side.isin(1, 3), _replaced(at, "ours")).otherwise(F.col("text"))
+    theirs = F.when(side.isin(2, 3), _replaced(at, "theirs")).otherwise(F.col("text"))
     merged = d.select(side.alias("side"), L.merged_text(F.col("text"), ours, theirs).alias("m"))
     return merged.groupBy("side").agg(
         F.count(F.lit(1)).alias("files"), F.sum("m.conflicts").cast("long").alias("conflicts"),

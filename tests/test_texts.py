@@ -9,6 +9,7 @@ import pytest
 from strata.functions.extract import extract_entities, pieces
 from strata.functions.lines import edit_script, merge3, merged_text, similarity, split_lines
 from strata.operators import renames
+from strata.plans import texts as plans
 from pyspark.sql import functions as F
 
 LINES = st.lists(st.sampled_from("abcd"), max_size=9)
@@ -94,3 +95,61 @@ def test_renames_are_one_to_one(spark):
     sides = [spark.createDataFrame(x, "kind string, id long, body string") for x in (old, new)]
     found = {(r.old, r.new): r.score for r in renames.assign(renames.candidates(*sides)).collect()}
     assert found == {(1, 12): 1.0, (2, 11): 0.8}
+
+
+def by_hand(base, ours, theirs):
+    """Merge of two sides that each change one place: changes that touch and differ are a conflict."""
+    def change(side):
+        head = 0
+        while head < min(len(base), len(side)) and base[head] == side[head]:
+            head += 1
+        tail = 0
+        while tail < min(len(base), len(side)) - head and base[-1 - tail] == side[-1 - tail]:
+            tail += 1
+        return head, len(base) - tail, side[head : len(side) - tail]
+
+    if ours == theirs or theirs == base:
+        return ours, 0
+    if ours == base:
+        return theirs, 0
+    (a, b, x), (c, d, y) = change(ours), change(theirs)
+    if b < c:
+        return base[:a] + x + base[b:c] + y + base[d:], 0
+    if d < a:
+        return base[:c] + y + base[d:a] + x + base[b:], 0
+    first, last = min(a, c), max(b, d)
+    mine, other = base[first:a] + x + base[b:last], base[first:c] + y + base[d:last]
+    return base[:first] + ["<<<<<<< ours", *mine, "=======", *other, ">>>>>>> theirs"] + base[last:], 1
+
+
+def test_whole_table_of_texts_by_brute_force(spark, tmp_path):
+    texts = [None, "", "\n", "a", "a\n", "a\nb", "a\na", "a\na\na", "a\nb\n", "\n\n\n", "a\na\na\na\na\na", "a\nb\na\nb\na\nb\n", "a\nb\nc\nd\ne", "a\nb\nc\nd", "x\n\nx\n\nx\n"]
+    rows = [(4 * i + k, t) for i, t in enumerate(texts) for k in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def replaced(text, at, line):
+        lines = text.split("\n")
+        lines[at] = line
+        return "\n".join(lines)
+
+    def merged(base, ours, theirs):
+        lines, n = by_hand(*map(split_lines, (base, ours, theirs)))
+        ended = any(t.endswith("\n") for t in (base, ours, theirs))
+        return "\n".join(lines) + "\n" * bool(ended and lines), n
+
+    scripts, ends, report = {}, {}, {}
+    for i, t in rows:
+        t = t or ""
+        at = min(2, t.count("\n"))
+        a, b = split_lines(t), split_lines(replaced(t, at, "rewritten"))
+        n = common(a, b)
+        scripts[i] = (n, len(a) - n, len(b) - n)
+        ends[i] = merged(t, replaced(t, 0, "OURS"), replaced(t, -1, "THEIRS"))
+        ours = replaced(t, at, "ours") if i % 4 in (1, 3) else t
+        theirs = replaced(t, at, "theirs") if i % 4 in (2, 3) else t
+        m, n = (theirs, 0) if ours == t else (ours, 0) if theirs == t else merged(t, ours, theirs)
+        f, c, k = report.get(i % 4, (0, 0, 0))
+        report[i % 4] = (f + 1, c + n, k + m.count("\n") + 1)
+    assert {r.doc_id: (r.kept, r.removed, r.added) for r in plans.myers_ops_all(spark, str(tmp_path)).collect()} == scripts
+    assert {r.doc_id: (r.merged, r.conflicts) for r in plans.diff3_merge_all(spark, str(tmp_path)).collect()} == ends
+    assert {r.side: (r.files, r.conflicts, r.lines) for r in plans.merge_preview_all(spark, str(tmp_path)).collect()} == report
