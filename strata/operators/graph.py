@@ -31,6 +31,28 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
         seen = settled(seen.unionByName(frontier))
 
 
+def tips(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node): the branch tips, nodes that are no one's parent."""
+    return nodes.select("node").distinct().join(edges.select(F.col("parent").alias("node")), "node", "left_anti")
+
+
+def closures(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(tip, node, distance): what each root (column node) reaches, itself included, by fewest steps."""
+    seen = settled(roots.select(F.col("node").alias("tip"), "node").distinct().withColumn("distance", F.lit(0)))
+    frontier, step = seen, 0
+    links = settled(edges.select("child", "parent").distinct())
+    while True:
+        step += 1
+        new = (
+            frontier.join(links, frontier["node"] == links["child"]).select("tip", F.col("parent").alias("node")).distinct()
+            .join(seen.select("tip", "node"), ["tip", "node"], "left_anti").withColumn("distance", F.lit(step))
+        )
+        frontier = settled(new)
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+
+
 def generations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, generation): 1 without parents, else one more than the greatest of the parents.
 
@@ -83,3 +105,17 @@ def chain(edges: DataFrame, tips: DataFrame) -> DataFrame:
 def bisect_candidates(edges: DataFrame, bad: DataFrame, good: DataFrame) -> DataFrame:
     """(node, distance) from the bad commit: what it reaches and no good one does, without itself."""
     return closure(edges, bad).filter("distance > 0").join(closure(edges, good).select("node"), "node", "left_anti")
+
+
+def push_sets(reach: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(tip, other, node, distance) for pairs of tips: what the tip reaches and the other does not."""
+    held = reach.select(F.col("tip").alias("other"), "node")
+    return reach.join(pairs, "tip").join(held, ["other", "node"], "left_anti").select("tip", "other", "node", "distance")
+
+
+def merge_bases(reach: DataFrame, generation: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(tip, other, node, generation) for pairs of tips, as ``merge_base`` has it; pairs without one are left out."""
+    held = reach.select(F.col("tip").alias("other"), "node")
+    common = reach.join(pairs, "tip").join(held, ["other", "node"]).join(generation, "node")
+    best = F.min(F.struct((-F.col("generation")).alias("g"), "node")).alias("best")
+    return common.groupBy("tip", "other").agg(best).select("tip", "other", "best.node", (-F.col("best.g")).alias("generation"))

@@ -85,6 +85,59 @@ def bisect_mid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.orderBy(F.desc("distance"), "node").offset(middle).limit(1).select("node")
 
 
+def _reach_of_tips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What every branch tip reaches, and the pairs (tip, other): each tip with its author's tip before it."""
+    commits, edges = _commits(spark, sf_dir), _edges(spark, sf_dir)
+    tips = G.tips(commits, edges)
+    before = F.lag("node").over(Window.partitionBy("author").orderBy("time", "node"))
+    pairs = commits.join(tips, "node", "left_semi").select(F.col("node").alias("tip"), before.alias("other")).filter("other IS NOT NULL")
+    return G.closures(edges, tips), pairs
+
+
+@query()
+def reachable_set_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tip, node) of every branch tip."""
+    return _reach_of_tips(spark, sf_dir)[0].select("tip", "node")
+
+
+@query()
+def merge_base_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reach, pairs = _reach_of_tips(spark, sf_dir)
+    return G.merge_bases(reach, G.generations(_commits(spark, sf_dir), _edges(spark, sf_dir)), pairs)
+
+
+@query()
+def push_set_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.push_sets(*_reach_of_tips(spark, sf_dir)).select("tip", "other", "node")
+
+
+@query()
+def bisect_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tip is the bad commit, the other one the good."""
+    return G.push_sets(*_reach_of_tips(spark, sf_dir)).filter("distance > 0")
+
+
+@query()
+def bisect_mid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = Window.partitionBy("tip", "other")
+    place = F.row_number().over(pair.orderBy(F.desc("distance"), "node")) - 1
+    c = bisect_candidates_all(spark, sf_dir).select("tip", "other", "node", place.alias("i"), F.count(F.lit(1)).over(pair).alias("n"))
+    return c.filter("i = n div 2").select("tip", "other", "node")
+
+
+@query()
+def log_all_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``log_all`` from every branch tip; the limit comes after all of them."""
+    edges, commits = _edges(spark, sf_dir), _commits(spark, sf_dir)
+    return _newest(commits, G.closure(edges, G.tips(commits, edges)))
+
+
+def _newest(commits: DataFrame, reached: DataFrame) -> DataFrame:
+    newest = reached.select("node").join(commits, "node").orderBy(F.desc("time"), "node").limit(20)
+    place = F.row_number().over(Window.orderBy(F.desc("time"), "node")).cast("long")  # of the twenty
+    return newest.select("node", "author", place.alias("place"))
+
+
 CHAIN = DAG + "c(tip, node, depth) AS (SELECT o_orderkey, o_orderkey, CAST(0 AS BIGINT) FROM orders WHERE o_orderkey % 100 = 99 UNION ALL SELECT c.tip, e.parent, c.depth + 1 FROM c JOIN e ON e.child = c.node AND e.ord = 0)"
 
 
@@ -108,10 +161,7 @@ def ancestor_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT node, author, row_number() OVER (ORDER BY o_orderdate DESC, node) AS place FROM (SELECT u.node, o_custkey AS author, o_orderdate FROM u JOIN orders ON o_orderkey = node) ORDER BY place LIMIT 20""")
 def log_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest twenty of all commits that any branch reaches: newest first, ties by hash."""
-    reached = G.closure(_edges(spark, sf_dir), _node(spark, 1495, 1240)).select("node")
-    newest = reached.join(_commits(spark, sf_dir), "node").orderBy(F.desc("time"), "node").limit(20)
-    place = F.row_number().over(Window.orderBy(F.desc("time"), "node")).cast("long")  # of the twenty
-    return newest.select("node", "author", place.alias("place"))
+    return _newest(_commits(spark, sf_dir), G.closure(_edges(spark, sf_dir), _node(spark, 1495, 1240)))
 
 
 VERSIONS = CHAIN + """
