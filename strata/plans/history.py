@@ -164,32 +164,63 @@ def log_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _newest(_commits(spark, sf_dir), G.closure(_edges(spark, sf_dir), _node(spark, 1495, 1240)))
 
 
+@query()
+def log_first_parent_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first-parent history of every commit."""
+    return G.chain(_edges(spark, sf_dir), _commits(spark, sf_dir))
+
+
+@query()
+def ancestor_nth_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_first_parent_all(spark, sf_dir).filter("depth = 5").select("tip", "node")
+
+
 VERSIONS = CHAIN + """
 , v AS (SELECT c.tip, c.depth, c.node, o_custkey AS author, o_orderstatus || CAST(o_orderkey % 3 AS VARCHAR) AS body FROM c JOIN orders ON o_orderkey = c.node),
 l AS (SELECT *, lead(body) OVER (PARTITION BY tip ORDER BY depth) AS parent_body FROM v)
 """
 
 
-def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _versions(spark: SparkSession, sf_dir: str, tips: DataFrame) -> DataFrame:
     """(tip, depth, node, author, body, parent_body): an entity's body along each branch's history."""
     o = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("node"), F.col("o_custkey").alias("author"), F.concat("o_orderstatus", (F.col("o_orderkey") % 3).cast("string")).alias("body")
     )
-    v = G.chain(_edges(spark, sf_dir), _tips(spark, sf_dir)).join(o, "node")
+    v = G.chain(_edges(spark, sf_dir), tips).join(o, "node")
     return v.withColumn("parent_body", F.lead("body").over(Window.partitionBy("tip").orderBy("depth")))
 
 
 @query(VERSIONS + " SELECT tip, arg_min(node, depth) AS node, arg_min(author, depth) AS author FROM l WHERE body IS DISTINCT FROM parent_body GROUP BY tip")
 def blame_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each branch the newest commit that changed the entity."""
-    changed = _versions(spark, sf_dir).filter(~F.col("body").eqNullSafe(F.col("parent_body")))
+    return _blame(_versions(spark, sf_dir, _tips(spark, sf_dir)))
+
+
+@query()
+def blame_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``blame_rows`` seen from every commit."""
+    return _blame(_versions(spark, sf_dir, _commits(spark, sf_dir)))
+
+
+def _blame(versions: DataFrame) -> DataFrame:
+    changed = versions.filter(~F.col("body").eqNullSafe(F.col("parent_body")))
     return changed.groupBy("tip").agg(F.min_by("node", "depth").alias("node"), F.min_by("author", "depth").alias("author"))
 
 
 @query(VERSIONS + " SELECT tip, node, depth, CASE WHEN parent_body IS NULL THEN 'create' ELSE 'modify' END AS change FROM l WHERE body IS DISTINCT FROM parent_body")
 def log_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All commits of a branch that touched the entity."""
-    changed = _versions(spark, sf_dir).filter(~F.col("body").eqNullSafe(F.col("parent_body")))
+    return _touched(_versions(spark, sf_dir, _tips(spark, sf_dir)))
+
+
+@query()
+def log_entity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``log_entity`` seen from every commit."""
+    return _touched(_versions(spark, sf_dir, _commits(spark, sf_dir)))
+
+
+def _touched(versions: DataFrame) -> DataFrame:
+    changed = versions.filter(~F.col("body").eqNullSafe(F.col("parent_body")))
     return changed.select("tip", "node", "depth", F.when(F.col("parent_body").isNull(), "create").otherwise("modify").alias("change"))
 
 
