@@ -108,9 +108,23 @@ SELECT s.spawn, count(DISTINCT e.event_id) AS events FROM s JOIN e ON e.id = s.s
 """)
 def spawn_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a spawn: by their id, their spawn id or the child agent; three equi-joins for the three-way OR."""
+    return _traced(_spawn_events(spark, sf_dir), spark.range(20).select(F.col("id").alias("spawn")))
+
+
+@query()
+def spawn_trace_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``spawn_trace`` of every spawn that an event names, by its id or its spawn id."""
+    e = _spawn_events(spark, sf_dir)
+    return _traced(e, e.select(F.explode(F.array("id", "spawn_id")).alias("spawn")).filter("spawn IS NOT NULL").distinct())
+
+
+def _spawn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", (k % 97).alias("id"), (k % 89).alias("spawn_id"))
-    s = spark.range(20).select(F.col("id").alias("spawn"), (F.col("id") * 3).alias("child"))
+    return table(spark, sf_dir, "events").select("event_id", "user_id", (k % 97).alias("id"), (k % 89).alias("spawn_id"))
+
+
+def _traced(e: DataFrame, spawns: DataFrame) -> DataFrame:
+    s = spawns.select("spawn", (F.col("spawn") * 3).alias("child"))
     found = None
     for left, right in (("spawn", "id"), ("spawn", "spawn_id"), ("child", "user_id")):
         part = s.join(e, s[left] == e[right]).select("spawn", "event_id")

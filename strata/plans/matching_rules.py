@@ -186,9 +186,19 @@ SELECT name, count(*) AS n FROM t JOIN w USING (name) GROUP BY name
 """)
 def impact_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that bodies mention: bodies are cut into words, so containment is an equi-join."""
+    return _mentions(spark, sf_dir, table(spark, sf_dir, "benchmark").filter("item_id < 20"))
+
+
+@query()
+def impact_refs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``impact_refs`` with the names of the whole benchmark."""
+    return _mentions(spark, sf_dir, table(spark, sf_dir, "benchmark"))
+
+
+def _mentions(spark: SparkSession, sf_dir: str, items: DataFrame) -> DataFrame:
     def words(text: Column) -> Column:
         return F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{4,}"), F.lit(0))))
 
-    names = table(spark, sf_dir, "benchmark").filter("item_id < 20").select(words(F.col("text")).alias("name")).distinct()
+    names = items.select(words(F.col("text")).alias("name")).distinct()
     bodies = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("name"))
     return bodies.join(names, "name").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
