@@ -104,4 +104,4 @@ def _merge_report(d: DataFrame, at: Column) -> DataFrame:
 def rename_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents removed (even) and added (odd) of one language, matched by line similarity."""
     d = table(spark, sf_dir, "documents").select(F.col("lang").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    return renames.assign(renames.candidates(d.filter("id % 2 = 0"), d.filter("id % 2 = 1")))
+    return renames.renamed(d.filter("id % 2 = 0"), d.filter("id % 2 = 1"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 import pytest
@@ -10,6 +12,7 @@ from strata.functions.extract import extract_entities, pieces
 from strata.functions.lines import edit_script, merge3, merged_text, similarity, split_lines
 from strata.operators import renames
 from strata.plans import texts as plans
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 LINES = st.lists(st.sampled_from("abcd"), max_size=9)
@@ -153,3 +156,22 @@ def test_whole_table_of_texts_by_brute_force(spark, tmp_path):
     assert {r.doc_id: (r.kept, r.removed, r.added) for r in plans.myers_ops_all(spark, str(tmp_path)).collect()} == scripts
     assert {r.doc_id: (r.merged, r.conflicts) for r in plans.diff3_merge_all(spark, str(tmp_path)).collect()} == ends
     assert {r.side: (r.files, r.conflicts, r.lines) for r in plans.merge_preview_all(spark, str(tmp_path)).collect()} == report
+
+
+def test_renames_are_those_of_the_greedy_order(spark, monkeypatch):
+    rng = random.Random(6)
+    bodies = ["", "\n", None] + ["same\nbody"] * 7 + ["a\nb\n\n", "a\nb\n"]
+    bodies += ["\n".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 12))) + "\n" * rng.randint(0, 1) for _ in range(60)]
+    bodies += ["\n".join(x if rng.random() > 0.1 else "z" for x in b.split("\n")) for b in bodies if b]
+    rows = [(rng.choice("fg"), i, b) for i, b in enumerate(bodies)]
+    sides = [rows[0::2], rows[1::2]]
+    scored = [(-similarity(b or "", d or ""), i, j, k) for k, i, b in sides[0] for m, j, d in sides[1] if k == m]
+    wanted, used = set(), set()
+    for s, i, j, k in sorted(x for x in scored if x[0] <= -0.8):
+        if not {(0, i), (1, j)} & used:
+            used |= {(0, i), (1, j)}
+            wanted.add((k, i, j, -s))
+    frames = [spark.createDataFrame(x, "kind string, id long, body string") for x in sides]
+    monkeypatch.setattr(GroupedData, "applyInPandas", None)  # no kind is gathered in one task
+    assert {tuple(r) for r in renames.renamed(*frames).collect()} == wanted
+    assert {tuple(r) for r in renames.assign(renames.candidates(*frames)).collect()} == wanted
