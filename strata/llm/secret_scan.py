@@ -50,7 +50,8 @@ DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 INNER_UUID = re.compile(rf"(?<![A-Za-z0-9]){UUID.pattern}(?![A-Za-z0-9])")
 PART = re.compile(r"[A-Za-z0-9]+")
-IDENTIFIER = re.compile(r"[_=+/-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_=+/-]+|$))+|(?:[A-Z]?[a-z]{2,})+[0-9]*")
+# each character has one way through the pattern, so a run is read in linear time
+IDENTIFIER = re.compile(r"[_=+/-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_=+/-]+|$))+|(?:[a-z]{2,}|[A-Z][a-z]{2,})(?:[A-Z][a-z]{2,})*[0-9]*")
 
 
 def known(run: str) -> bool:
