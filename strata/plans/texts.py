@@ -71,7 +71,8 @@ def diff3_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _both_ends(d: DataFrame) -> DataFrame:
     ours, theirs = _replaced(F.lit(0), "OURS"), _replaced(F.size("l") - 1, "THEIRS")
-    return d.select("doc_id", L.merged_text(F.col("text"), ours, theirs).alias("m")).select("doc_id", "m.merged", "m.conflicts")
+    d = d.select("doc_id", "text", ours.alias("ours"), theirs.alias("theirs"))
+    return L.merge_texts(d, "text", "ours", "theirs").select("doc_id", "merged", "conflicts")
 
 
 @query(PLAIN_SQL + """
@@ -93,10 +94,10 @@ def _merge_report(d: DataFrame, at: Column) -> DataFrame:
     side = F.col("doc_id") % 4
     ours = F.when(side.isin(1, 3), _replaced(at, "ours")).otherwise(F.col("text"))
     theirs = F.when(side.isin(2, 3), _replaced(at, "theirs")).otherwise(F.col("text"))
-    merged = d.select(side.alias("side"), L.merged_text(F.col("text"), ours, theirs).alias("m"))
-    return merged.groupBy("side").agg(
-        F.count(F.lit(1)).alias("files"), F.sum("m.conflicts").cast("long").alias("conflicts"),
-        F.sum(F.size(F.split("m.merged", "\n", -1))).cast("long").alias("lines"),
+    d = d.select(side.alias("side"), "text", ours.alias("ours"), theirs.alias("theirs"))
+    return L.merge_texts(d, "text", "ours", "theirs").groupBy("side").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("conflicts").cast("long").alias("conflicts"),
+        F.sum(F.size(F.split("merged", "\n", -1))).cast("long").alias("lines"),
     )
 
 

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 import pytest
 
 from strata.functions.extract import extract_entities, pieces
-from strata.functions.lines import edit_script, merge3, merged_text, similarity, split_lines
+from strata.functions.lines import edit_script, merge3, merge_texts, similarity, split_lines
 from strata.operators import renames
 from strata.plans import texts as plans
 from pyspark.sql import GroupedData
@@ -52,6 +52,40 @@ def test_merge_takes_both_and_marks_conflicts():
     assert merge3("", "a", "b")[1] == 1
 
 
+@pytest.mark.parametrize(
+    "base, ours, theirs, merged, conflicts",
+    [
+        ("a b c d", "a B c d", "a b C d", "a B C d", 0),  # neighbours
+        ("a b c d", "a B c d", "a b x c d", "a B x c d", 0),  # inserted after a changed line
+        ("a b c d", "a x b c d", "A b c d", "A x b c d", 0),
+        ("a b c", "a x b c", "a y b c", "a <<<<<<< ours x ======= y >>>>>>> theirs b c", 1),  # both insert at one place
+        ("a b c", "a x b c", "a x b c", "a x b c", 0),
+        ("a b c", "a x b c", "a B c", "a <<<<<<< ours x b ======= B >>>>>>> theirs c", 1),
+        ("a b c d e", "a X e", "a b C d e", "a <<<<<<< ours X ======= b C d >>>>>>> theirs e", 1),
+        ("a b c d", "b c d", "a b c", "b c", 0),  # deletions at both ends
+        ("a a a a", "a a a", "a a a a b", "a a a b", 0),
+        ("a b c", "a c", "a b c d", "a c d", 0),
+        ("a b c", "a c", "a B c", "a <<<<<<< ours ======= B >>>>>>> theirs c", 1),
+    ],
+)
+def test_merges(base, ours, theirs, merged, conflicts):
+    lines = ["\n".join(x.replace("<<<<<<< ours", "<1").replace(">>>>>>> theirs", ">3").split(" ")) for x in (base, ours, theirs, merged)]
+    text, n = merge3(*lines[:3])
+    assert (text.replace("<<<<<<< ours", "<1").replace("=======", "=======").replace(">>>>>>> theirs", ">3"), n) == (lines[3], conflicts)
+
+
+def test_insertions_into_a_blank_place_stand_together():
+    assert merge3("", "a\n", "b\n", join_insertions=True) == ("a\nb\n", 0)
+    assert merge3("x\n\ny\n", "x\n\na\ny\n", "x\n\nb\ny\n", join_insertions=True) == ("x\n\na\nb\ny\n", 0)
+    assert merge3("", "a\n", " a\n", join_insertions=True) == ("a\n", 0)
+    assert merge3("k\n", "a\n", "b\n", join_insertions=True)[1] == 1
+
+
+def test_equal_scripts_are_told_apart():
+    assert edit_script("ab", "acbb") == [("=", "a"), ("+", "c"), ("=", "b"), ("+", "b")]
+    assert edit_script("a", "b") == [("-", "a"), ("+", "b")]
+
+
 def test_similarity():
     assert similarity("", "") == 1.0
     assert similarity("a\nb\nc\nd", "a\nb\nc\nx") == 0.75
@@ -85,11 +119,14 @@ def test_extraction_as_rows(spark):
     assert rows[0].start_byte == 0 and rows[-1].end_byte == len("package p\nfunc init() {}\nfunc init() {}\n")
 
 
-def test_merged_text_settles_plain_cases(spark):
-    rows = [(1, "a\nb\nc", "a\nb\nc", "x\nb\nc"), (2, "a", "b", "b"), (3, "a", "b", "c")]
+def test_merge_settles_plain_rows_without_python(spark):
+    rows = [(1, "a\nb\nc", "a\nb\nc", "x\nb\nc"), (2, "a", "b", "b"), (3, "a", "b", "c"), (4, None, None, "t"), (5, None, "o", None)]
     df = spark.createDataFrame(rows, "id int, b string, o string, t string")
-    found = {r.id: (r.m.merged, r.m.conflicts) for r in df.select("id", merged_text(F.col("b"), F.col("o"), F.col("t")).alias("m")).collect()}
+    found = {r.id: (r.merged, r.conflicts) for r in merge_texts(df, "b", "o", "t").collect()}
     assert found[1] == ("x\nb\nc", 0) and found[2] == ("b", 0) and found[3][1] == 1
+    assert found[4] == ("t", 0) and found[5] == ("o", 0)
+    plain = df.filter("id < 3").select("id", "b", F.col("b").alias("o"), "t")
+    assert [r.conflicts for r in merge_texts(plain, "b", "o", "t").collect()] == [0, 0]
 
 
 def test_renames_are_one_to_one(spark):
@@ -101,28 +138,53 @@ def test_renames_are_one_to_one(spark):
 
 
 def by_hand(base, ours, theirs):
-    """Merge of two sides that each change one place: changes that touch and differ are a conflict."""
-    def change(side):
-        head = 0
-        while head < min(len(base), len(side)) and base[head] == side[head]:
-            head += 1
-        tail = 0
-        while tail < min(len(base), len(side)) - head and base[-1 - tail] == side[-1 - tail]:
-            tail += 1
-        return head, len(base) - tail, side[head : len(side) - tail]
-
-    if ours == theirs or theirs == base:
-        return ours, 0
-    if ours == base:
-        return theirs, 0
-    (a, b, x), (c, d, y) = change(ours), change(theirs)
-    if b < c:
-        return base[:a] + x + base[b:c] + y + base[d:], 0
-    if d < a:
-        return base[:c] + y + base[d:a] + x + base[b:], 0
-    first, last = min(a, c), max(b, d)
-    mine, other = base[first:a] + x + base[b:last], base[first:c] + y + base[d:last]
-    return base[:first] + ["<<<<<<< ours", *mine, "=======", *other, ">>>>>>> theirs"] + base[last:], 1
+    """Merge by classes of changes: two are related if their ranges overlap or begin at one line."""
+    changes = []
+    for side, lines in enumerate((ours, theirs)):
+        at, run = 0, None
+        for op, line in [*edit_script(base, lines), ("=", None)]:
+            if op == "=":
+                if run:
+                    changes.append((run[0], at, side, run[1]))
+                at, run = at + 1, None
+            else:
+                run = run or (at, [])
+                run[1].extend([line] * (op == "+"))
+                at += op == "-"
+    classes = [{c} for c in range(len(changes))]
+    for i, x in enumerate(changes):
+        for j, y in enumerate(changes[:i]):
+            if x[0] == y[0] or max(x[0], y[0]) < min(x[1], y[1]) or (x[0] < y[0] < x[1]) or (y[0] < x[0] < y[1]):
+                one, other = (next(c for c in classes if k in c) for k in (i, j))
+                if one is not other:
+                    classes.remove(other)
+                    one |= other
+    out, at, conflicts = [], 0, 0
+    for c in sorted((sorted(changes[k] for k in c) for c in classes), key=lambda c: (c[0][0], max(x[1] for x in c))):
+        first, last = c[0][0], max(x[1] for x in c)
+        texts = []
+        for side in (0, 1):
+            text, here = [], first
+            for a, b, _, lines in (x for x in c if x[2] == side):
+                text += base[here:a] + lines
+                here = b
+            texts.append(text + base[here:last])
+        out += base[at:first]
+        only = {x[2] for x in c}
+        if len(only) == 1 or texts[0] == texts[1]:
+            out += texts[min(only)]
+        else:
+            conflicts += 1
+            out += ["<<<<<<< ours", *texts[0], "=======", *texts[1], ">>>>>>> theirs"]
+        at = last
+    return out + base[at:], conflicts
+
+
+@settings(max_examples=400, deadline=None)
+@given(LINES, LINES, LINES)
+def test_merges_by_hand(base, ours, theirs):
+    lines, conflicts = by_hand(base, ours, theirs)
+    assert merge3("\n".join(base), "\n".join(ours), "\n".join(theirs)) == ("\n".join(lines), conflicts)
 
 
 def test_whole_table_of_texts_by_brute_force(spark, tmp_path):
