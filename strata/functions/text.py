@@ -18,10 +18,12 @@ def signature(body: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(header, r"^\s+|\s+$", ""), r"\s+", " ")
 
 
-def identity_key(kind: Column, decl_kind: Column, receiver: Column, name: Column, sig: Column, ordinal: Column) -> Column:
+def identity_key(kind: Column, decl_kind: Column, receiver: Column, name: Column, sig: Column, ordinal: Column, before: Column, after: Column) -> Column:
+    """What matches an entity across revisions; an interstitial goes by the keys of its neighbours."""
     number = ordinal.cast("string")
-    declared = F.concat_ws(":", F.lit("decl"), normalized(decl_kind), normalized(receiver), normalized(name), normalized(sig), number)
-    return F.when(kind == "declaration", declared).otherwise(F.concat_ws(":", kind, number))
+    declared = F.concat_ws(":", F.lit("decl"), decl_kind, receiver, name, normalized(sig), number)
+    between = F.concat_ws(":", F.lit("between"), F.coalesce(before, F.lit("")), F.coalesce(after, F.lit("")))
+    return F.when(kind == "declaration", declared).when(kind == "interstitial", between).otherwise(F.concat_ws(":", kind, number))
 
 
 def object_hash(kind: Column, content: Column) -> Column:
@@ -33,7 +35,7 @@ def object_hash(kind: Column, content: Column) -> Column:
 # File name extensions and their languages.
 LANGUAGES = {
     "go": "go", "py": "python", "rs": "rust", "ts": "typescript", "tsx": "typescript",
-    "js": "javascript", "jsx": "javascript", "c": "c", "h": "c", "java": "java",
+    "js": "javascript", "jsx": "javascript", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "java": "java",
 }
 
 

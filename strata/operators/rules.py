@@ -37,12 +37,54 @@ class PathRule:
         return path.rlike(f"{start}{inner}{end}")
 
 
-def last_match(path: Column, rules: Sequence[PathRule]) -> Column:
+@dataclass(frozen=True)
+class IgnoreRule:
+    """A line of an ignore file.
+
+    ! negates.  With a trailing / the rule names a folder, literally: the path
+    itself, or any folder above it, or (without a leading /) any part of the path.
+    All others are globs, of the whole path where they have a slash, else of its
+    last part.
+    """
+
+    line: str
+
+    @property
+    def negated(self) -> bool:
+        return self.line.startswith("!")
+
+    def matches(self, path: Column) -> Column:
+        body = self.line.removeprefix("!")
+        rooted, folder = body.startswith("/"), body.endswith("/")
+        body = body.strip("/")
+        if folder:
+            above = (path == body) | path.startswith(body + "/")
+            return above if rooted or "/" in body else above | F.array_contains(F.split(path, "/"), body)
+        whole = rooted or "/" in body
+        return (path if whole else F.substring_index(path, "/", -1)).rlike(glob_regex(body))
+
+
+#: What no file has to name: the folders of version control.
+BUILT_IN = (".git",)
+
+
+def ignore_rules(lines: Sequence[str], built_in: Sequence[str] = BUILT_IN, modules: Sequence[str] = ()) -> list[IgnoreRule]:
+    """The rules of an ignore file's lines, after what is built in and before the folders of modules."""
+    own = [line.strip() for line in lines]
+    return [IgnoreRule(x) for x in (*built_in, *(x for x in own if x and not x.startswith("#")), *(f"{m}/" for m in modules))]
+
+
+def last_match(path: Column, rules: Sequence[PathRule | IgnoreRule]) -> Column:
     """Number from 1 of the last rule that matches, null if none does."""
     return F.greatest(F.lit(None).cast("int"), *(F.when(r.matches(path), F.lit(i)) for i, r in enumerate(rules, 1)))
 
 
-def ignored(path: Column, rules: Sequence[PathRule]) -> Column:
+def all_matches(path: Column, rules: Sequence[PathRule | IgnoreRule]) -> Column:
+    """Numbers from 1 of every rule that matches, in order."""
+    return F.array_compact(F.array(*(F.when(r.matches(path), F.lit(i)) for i, r in enumerate(rules, 1))))
+
+
+def ignored(path: Column, rules: Sequence[PathRule | IgnoreRule]) -> Column:
     """Whether the last matching rule is not a negated one."""
     last = last_match(path, rules)
     kept = [i for i, r in enumerate(rules, 1) if r.negated]

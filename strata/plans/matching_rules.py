@@ -61,8 +61,9 @@ def enclosing_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return around.groupBy("file", "hit").agg(F.min_by("entity", F.struct(F.col("e") - F.col("s"), F.col("entity"))).alias("entity"))
 
 
-IGNORE = ("src1*/", "!src1/en", "*7", "/src2/de", "!src12/")
-IGNORE_RULES_SQL = """(VALUES (1, '(^|/)src1[^/]*/', FALSE), (2, '^src1/en(/|$)', TRUE), (3, '(^|/)[^/]*7(/|$)', FALSE), (4, '^src2/de(/|$)', FALSE), (5, '(^|/)src12/', TRUE)) AS r(no, pattern, negated)"""
+IGNORE = ("# sources", "src1/", "!src1/en/**", "*7", "", "/src2/de", "!src12/", "fr/", "/es/", "src3/**/1?")
+IGNORE_RULES_SQL = """(VALUES (1, '(^|/)[.]git$', FALSE), (2, '(^|/)src1(/|$)', FALSE), (3, '^src1/en/.*$', TRUE), (4, '(^|/)[^/]*7$', FALSE),
+  (5, '^src2/de$', FALSE), (6, '(^|/)src12(/|$)', TRUE), (7, '(^|/)fr(/|$)', FALSE), (8, '^es(/|$)', FALSE), (9, '^src3/(.*/)?1[^/]$', FALSE)) AS r(no, pattern, negated)"""
 
 
 @query(f"""
@@ -71,11 +72,21 @@ SELECT f.path, coalesce(NOT arg_max(r.negated, r.no), FALSE) AS ignored, max(r.n
 FROM f LEFT JOIN {IGNORE_RULES_SQL} ON regexp_matches(f.path, r.pattern) GROUP BY f.path
 """)
 def ignore_last_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = [rules.PathRule(x) for x in IGNORE]
+    held = rules.ignore_rules(IGNORE)
     path = F.col("path")
     return _files(spark, sf_dir).select("path", rules.ignored(path, held).alias("ignored"), rules.last_match(path, held).alias("rule"))
 
 
+@query(f"""
+WITH f AS (SELECT {PATH_SQL} AS path FROM documents)
+SELECT f.path, string_agg(CAST(r.no AS VARCHAR), ',' ORDER BY r.no) AS rules FROM f JOIN {IGNORE_RULES_SQL} ON regexp_matches(f.path, r.pattern) GROUP BY f.path
+""")
+def ignore_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ignore rule that matches a path, not the last alone."""
+    found = F.array_join(rules.all_matches(F.col("path"), rules.ignore_rules(IGNORE)).cast("array<string>"), ",")
+    return _files(spark, sf_dir).select("path", found.alias("rules")).filter("rules != ''")
+
+
 ATTRIBUTES = (("src*", {"diff": "true", "merge": "text"}), ("/src1/en", {"merge": "union"}), ("*3", {"diff": "false"}))
 
 

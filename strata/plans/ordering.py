@@ -5,23 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions import scalars as S
 from strata.functions import text as T
 from strata.operators import ordered
 from strata.plans.registry import query, table
 
 
-@query("""
-SELECT conv_id, turn, CASE role WHEN 'user' THEN 'decl:-:-:' || trim(regexp_replace(split_part(text, ' ', 1), '\\s+', ' ', 'g')) || ':-:' || CAST(o AS VARCHAR)
-  ELSE 'interstitial:' || CAST(o AS VARCHAR) END AS identity
-FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS o FROM conversations)
-""".replace("\\\\", "\\"))
+@query(r"""
+WITH c AS (
+  SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role, name, sig ORDER BY turn) - 1 AS o, name, sig
+  FROM (SELECT conv_id, turn, role, split_part(text, ' ', 1) AS name,
+          CASE WHEN text LIKE '%?%' THEN trim(regexp_replace(text[1:20], '\s+', ' ', 'g')) ELSE '-' END AS sig FROM conversations)),
+k AS (
+  SELECT *, CASE WHEN role = 'user' THEN concat('decl:', 'function_item', ':', role, ':', name, ':', CASE WHEN sig = '' THEN '-' ELSE sig END, ':', CAST(o AS VARCHAR)) END AS own FROM c)
+SELECT conv_id, turn, coalesce(own, 'between:' ||
+  coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || ':' ||
+  coalesce(first_value(own IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '')) AS identity
+FROM k
+""")
 def identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identity keys of a conversation's turns: user turns as declarations named by their first word."""
-    c = ordered.ordinals(table(spark, sf_dir, "conversations"), ["conv_id", "role"], "turn")
+    """Identity keys of a conversation's turns: user turns as declarations, the others as what lies between them."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.substring_index("text", " ", 1).alias("name"), "text")
+    c = c.withColumn("sig", F.when(F.col("text").contains("?"), F.left("text", F.lit(20))).otherwise(""))
+    c = ordered.ordinals(c.withColumn("same", T.normalized(F.col("sig"))), ["conv_id", "role", "name", "same"], "turn")
     kind = F.when(F.col("role") == "user", "declaration").otherwise("interstitial")
-    none = F.lit("")
-    key = T.identity_key(kind, none, none, F.substring_index("text", " ", 1), none, F.col("ordinal"))
-    return c.select("conv_id", "turn", key.alias("identity"))
+    parts = (F.lit("function_item"), F.col("role"), F.col("name"), F.col("sig"), F.col("ordinal"))
+    none = F.lit(None).cast("string")
+    c = c.withColumn("kind", kind).withColumn("own", T.identity_key(kind, *parts, none, none))
+    c = ordered.neighbours(c, "conv_id", "turn", "own", F.col("kind") != "interstitial")
+    return c.select("conv_id", "turn", T.identity_key(F.col("kind"), *parts, F.col("prev_key"), F.col("next_key")).alias("identity"))
 
 
 @query("""
@@ -48,11 +60,11 @@ def integrity_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) WHEN 'go' THEN 'go' WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' WHEN 'tsx' THEN 'typescript' WHEN 'h' THEN 'c' ELSE '' END AS lang
-FROM (SELECT p_partkey, p_brand || '/' || CAST(p_partkey AS VARCHAR) || CASE p_partkey % 6 WHEN 0 THEN '.go' WHEN 1 THEN '.PY' WHEN 2 THEN '.rs' WHEN 3 THEN '.tsx' WHEN 4 THEN '.h' ELSE '.md' END AS path FROM part)
+SELECT p_partkey, CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) WHEN 'go' THEN 'go' WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' WHEN 'tsx' THEN 'typescript' WHEN 'h' THEN 'c' WHEN 'hpp' THEN 'cpp' WHEN 'jsx' THEN 'javascript' ELSE '' END AS lang
+FROM (SELECT p_partkey, p_brand || '/' || CAST(p_partkey AS VARCHAR) || CASE p_partkey % 8 WHEN 0 THEN '.go' WHEN 1 THEN '.PY' WHEN 2 THEN '.rs' WHEN 3 THEN '.tsx' WHEN 4 THEN '.h' WHEN 5 THEN '.hpp' WHEN 6 THEN '.jsx' ELSE '.md' END AS path FROM part)
 """.replace("\\\\", "\\"))
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ending = F.element_at(F.array(*map(F.lit, (".go", ".PY", ".rs", ".tsx", ".h", ".md"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    ending = F.element_at(F.array(*map(F.lit, (".go", ".PY", ".rs", ".tsx", ".h", ".hpp", ".jsx", ".md"))), (F.col("p_partkey") % 8 + 1).cast("int"))
     path = F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string"), ending)
     return table(spark, sf_dir, "part").select("p_partkey", T.language(path).alias("lang"))
 
@@ -152,15 +164,18 @@ def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.hunks(changed, "file", "line")
 
 
+TRACE_TYPES = ("spawn_authorized", "spawn_started", "action_exec_started", "action_exec_finished", "spawn_finished", "note", "spawn_heartbeat", "action_preflight_blocked")
+
+
 @query("""
-WITH p AS (SELECT event_id, user_id, CASE event_type WHEN 'view' THEN 'authorization' WHEN 'click' THEN 'activation' WHEN 'purchase' THEN 'completion' ELSE 'other' END AS phase FROM events)
+WITH p AS (SELECT event_id, user_id, CASE event_id % 8 WHEN 0 THEN 'authorization' WHEN 1 THEN 'activation' WHEN 6 THEN 'activation'
+  WHEN 4 THEN 'completion' WHEN 5 THEN 'other' ELSE 'execution' END AS phase FROM events)
 SELECT user_id, phase, count(*) AS n, min(event_id) AS first_event FROM p GROUP BY user_id, phase
 """)
 def phase_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by the phase of their type, in order of first appearance."""
-    t = F.col("event_type")
-    phase = F.when(t == "view", "authorization").when(t == "click", "activation").when(t == "purchase", "completion").otherwise("other")
-    return table(spark, sf_dir, "events").withColumn("phase", phase).groupBy("user_id", "phase").agg(
+    """Trace events by the phase of their type, with where each phase begins."""
+    kind = F.element_at(F.array(*map(F.lit, TRACE_TYPES)), (F.col("event_id") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "events").withColumn("phase", S.phase(kind)).groupBy("user_id", "phase").agg(
         F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event")
     )
 

@@ -86,3 +86,11 @@ def test_claims_carry_on_over_batches(spark, tmp_path):
     found = S.drained(S.claims(spark.readStream.schema(schema).parquet(source)), str(tmp_path / "state"))
     got = [(r.seq, r.outcome, r.holder) for r in found.orderBy("seq").collect()]
     assert got == [(1, "granted", 7), (2, "refused", 7), (3, "taken", 8), (4, "ignored", 8), (5, "released", None), (6, "granted", 7)]
+
+
+def test_ignore_rules(spark):
+    paths = ["build", "build/x", "a/build", "a/build/x", "buildx", "foo", "foo/bar", "a/foo", "src7/x", "x7", "d/x7", ".git", "a/.git", ".git/x", "keep.log", "z.log", "m/sub/f", "docs/a/b.md", "docs/b.md"]
+    held = rules.ignore_rules(["# c", "build/", "foo", "*7", "*.log", "!keep.log", "docs/**/b.md", ""], modules=["m/sub"])
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = {r.path for r in df.filter(rules.ignored(F.col("path"), held)).collect()}
+    assert got == {"build", "build/x", "a/build", "a/build/x", "foo", "a/foo", "x7", "d/x7", ".git", "a/.git", "z.log", "m/sub/f", "docs/a/b.md", "docs/b.md"}
