@@ -1,8 +1,9 @@
 """Entities of source files: a partition of the text into named pieces.
 
 The pieces of a file are in order, contiguous, and give the text when put
-together.  A piece is a preamble (what comes before all else), an import block,
-a declaration or an interstitial (what lies between).  Python is cut by its own
+together.  A piece is a preamble (what comes before all else, without the white
+space after it), an import block, a declaration or an interstitial (what lies
+between).  Python is cut by its own
 grammar; brace languages by top-level declarations, whose ends are found by
 counting braces outside strings and comments; other files are one interstitial.
 """
@@ -14,6 +15,8 @@ from collections.abc import Iterator
 import hashlib
 import re
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
@@ -28,6 +31,23 @@ DECLARATIONS = {
     "c": r"(?:static\s+|inline\s+|extern\s+)*(?P<kind>struct|enum|union|typedef|[\w*]+)\s+\**(?P<name>\w+)\s*[({=;]",
 }
 IMPORTS = {"go": r"import\b", "rust": r"(?:pub\s+)?use\b", "typescript": r"import\b", "javascript": r"import\b", "c": r"#include\b"}
+# The grammars' names of what a keyword declares.
+KINDS = {
+    "go": {"func": "function_declaration", "type": "type_declaration", "var": "var_declaration", "const": "const_declaration"},
+    "rust": {
+        "fn": "function_item", "struct": "struct_item", "enum": "enum_item", "trait": "trait_item", "impl": "impl_item", "mod": "mod_item",
+        "const": "const_item", "static": "static_item", "type": "type_item",
+    },
+    "typescript": {
+        "function": "function_declaration", "class": "class_declaration", "interface": "interface_declaration", "type": "type_alias_declaration",
+        "enum": "enum_declaration", "const": "lexical_declaration", "let": "lexical_declaration", "var": "variable_declaration",
+    },
+    "javascript": {
+        "function": "function_declaration", "class": "class_declaration", "const": "lexical_declaration", "let": "lexical_declaration",
+        "var": "variable_declaration",
+    },
+    "c": {"struct": "struct_specifier", "enum": "enum_specifier", "union": "union_specifier", "typedef": "type_definition"},
+}
 _SKIP = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|`[^`]*`|'(?:\\.|[^'\\\n])'|[{}()\n]", re.S)
 
 
@@ -54,7 +74,8 @@ def _python(text: str) -> list[Piece]:
             else:
                 found.append((begin, end, "import_block", "", "", ""))
         elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            kind = "class" if isinstance(node, ast.ClassDef) else "function"
+            kind = "class_definition" if isinstance(node, ast.ClassDef) else "function_definition"
+            kind = "decorated_definition" if node.decorator_list else kind
             found.append((begin, end, "declaration", kind, "", node.name))
     return found
 
@@ -87,7 +108,11 @@ def _braces(text: str, language: str) -> list[Piece]:
         else:
             groups = m.groupdict()
             receiver = (groups.get("recv") or "").strip().split(" ")[-1].lstrip("*") if m["name"] else ""
-            found.append((m.start(), end, "declaration", m["kind"], receiver, m["name"] or ""))
+            kind = KINDS[language].get(m["kind"], "function_definition")
+            if m.group().startswith("export"):
+                kind = "export_statement"
+            kind = "method_declaration" if receiver else kind
+            found.append((m.start(), end, "declaration", kind, receiver, m["name"] or ""))
         at = end
     return found
 
@@ -101,7 +126,11 @@ def pieces(text: str, language: str) -> list[Piece]:
     at = 0
     for piece in found:
         if piece[0] > at:
-            out.append((at, piece[0], "interstitial" if out else "preamble", "", "", ""))
+            lead = at if out else at + len(text[at : piece[0]].rstrip())
+            if lead > at:
+                out.append((at, lead, "preamble", "", "", ""))
+            if piece[0] > lead:
+                out.append((lead, piece[0], "interstitial", "", "", ""))
         out.append(piece)
         at = piece[1]
     if at < len(text):
@@ -109,36 +138,85 @@ def pieces(text: str, language: str) -> list[Piece]:
     return out
 
 
+def signature(body: str) -> str:
+    """A declaration's header: up to its first brace or line end, white space collapsed."""
+    return " ".join(body.strip().split("{", 1)[0].strip().split("\n", 1)[0].split())
+
+
 _ROW = T.StructType(
     [
         T.StructField(name, kind())
         for name, kind in (
             ("pos", T.IntegerType), ("kind", T.StringType), ("decl_kind", T.StringType), ("receiver", T.StringType), ("name", T.StringType),
-            ("ordinal", T.IntegerType), ("body", T.StringType), ("body_hash", T.StringType), ("start_byte", T.LongType), ("end_byte", T.LongType),
-            ("start_line", T.IntegerType), ("end_line", T.IntegerType),
+            ("signature", T.StringType), ("ordinal", T.IntegerType), ("key", T.StringType), ("body", T.StringType), ("body_hash", T.StringType),
+            ("start_byte", T.LongType), ("end_byte", T.LongType), ("start_line", T.IntegerType), ("end_line", T.IntegerType),
         )
     ]
 )
 
 
+def entities(text: str, language: str) -> list[dict]:
+    """The rows of a text's pieces.
+
+    Ordinals count earlier pieces of the same kind, name and signature.  Keys
+    identify a piece across revisions; what lies between goes by its neighbours.
+    """
+    seen: dict[tuple, int] = {}
+    byte, line, out = 0, 1, []
+    for pos, (begin, end, kind, decl_kind, receiver, name) in enumerate(pieces(text or "", language or "")):
+        body = text[begin:end]
+        header = signature(body) if kind == "declaration" else ""
+        same = (kind, decl_kind, receiver, name, header)
+        ordinal = 0 if kind == "interstitial" else seen.get(same, 0)
+        seen[same] = ordinal + 1
+        key = f"decl:{decl_kind}:{receiver}:{name}:{header or '-'}:{ordinal}" if kind == "declaration" else f"{kind}:{ordinal}"
+        data = body.encode()
+        last = line + body.count("\n")
+        out.append(
+            {
+                "pos": pos, "kind": kind, "decl_kind": decl_kind, "receiver": receiver, "name": name, "signature": header, "ordinal": ordinal,
+                "key": key, "body": body, "body_hash": hashlib.sha256(data).hexdigest(), "start_byte": byte, "end_byte": byte + len(data),
+                "start_line": line, "end_line": last - body.endswith("\n"),
+            }
+        )
+        byte, line = byte + len(data), last
+    named = [e["key"] if e["kind"] != "interstitial" else None for e in out]
+    for i, e in enumerate(out):
+        if e["kind"] == "interstitial":
+            before = next((k for k in reversed(named[:i]) if k), "")
+            e["key"] = f"between:{before}:{next((k for k in named[i + 1 :] if k), '')}"
+    return out
+
+
 class ExtractEntities:
-    """Rows for each piece; ordinals count earlier pieces of the same kind and name."""
+    """``entities`` as a table function."""
 
     def eval(self, text: str, language: str) -> Iterator[tuple]:
-        seen: dict[tuple, int] = {}
-        byte, line = 0, 1
-        for pos, (begin, end, kind, decl_kind, receiver, name) in enumerate(pieces(text or "", language or "")):
-            key = (kind, decl_kind, receiver, name)
-            ordinal = seen.get(key, 0)
-            seen[key] = ordinal + 1
-            body = text[begin:end]
-            data = body.encode()
-            last = line + body.count("\n")
-            yield (
-                pos, kind, decl_kind, receiver, name, ordinal, body, hashlib.sha256(data).hexdigest(),
-                byte, byte + len(data), line, last - body.endswith("\n"),
-            )
-            byte, line = byte + len(data), last
+        for e in entities(text, language):
+            yield tuple(e.values())
 
 
 extract_entities = udtf(ExtractEntities, returnType=_ROW)
+
+
+def extracted(files: DataFrame, keys: list[str], text: str = "text", language: str = "lang") -> DataFrame:
+    """``keys`` of each file with its entities, one row each, in Arrow batches; null texts have none."""
+    fields = [f for f in files.schema.fields if f.name in keys]
+    fields.sort(key=lambda f: keys.index(f.name))
+    out = T.StructType([*fields, *_ROW.fields])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.StringType(): pa.string()}
+        for batch in batches:
+            at, columns = [], {f.name: [] for f in _ROW.fields}
+            for i, (body, lang) in enumerate(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist(), strict=True)):
+                for e in entities(body, lang):
+                    at.append(i)
+                    for name, value in e.items():
+                        columns[name].append(value)
+            own = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(len(keys))]
+            yield pa.RecordBatch.from_arrays(
+                [*own, *(pa.array(columns[f.name], kinds[f.dataType]) for f in _ROW.fields)], [*keys, *(f.name for f in _ROW.fields)]
+            )
+
+    return files.select(*keys, text, language).mapInArrow(rows, out)
