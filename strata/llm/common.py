@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of every contract of this package.
@@ -19,13 +19,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` where the session names one; only a session
-    without it (tests, local mode) gets a folder of its own.
+    It is ``spark.checkpoint.dir`` where the session names one; without it local
+    mode (tests) gets a folder of its own, and a cluster an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that its driver and executors share")
         base = tempfile.mkdtemp(prefix="strata-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -90,5 +92,19 @@ def bit_table(bits: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def row_mark(text: Column) -> Column:
+    """64 bits of a text: with doc_id they tell rows apart that lack or share a doc_id."""
+    return F.xxhash64(text)
+
+
+def rows_marked(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and mark are in ``kept`` (doc_id, mark), a table; rows that repeat in full once."""
+    ids, mark = docs["doc_id"].cast("long"), row_mark(docs["text"].cast("string"))
+    found = docs.join(kept, ids.eqNullSafe(kept["doc_id"]) & mark.eqNullSafe(kept["mark"]), "left_semi")
+    if not kept.groupBy("doc_id", "mark").count().filter("count > 1").isEmpty():
+        found = found.dropDuplicates(["doc_id", "text"])
+    return found.select(*docs.columns)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -8,7 +8,12 @@ pair of Jaccard similarity s shares a key with probability
 
 Documents with equal shingle sets are one class.  Within the classes that share
 a key, links are confirmed on full shingle sets (64-bit hashes), never on
-sketches, and without emitting all pairs of a group: a round picks one member of
+sketches.  Half-keys alone come first: two documents share a table key only if
+they share both of its halves, so a half-key that one class alone holds makes no
+table key, and a class without a shared half in either collection makes none at
+all.  The table keys of the rest are what is dealt out.
+
+A round picks one member of
 each group and compares with it the members that are not yet in its component.
 After ``STAR_ROUNDS`` rounds, whatever pairs of different components are still
 together under a key are all compared, so no link that shares a key is lost.  A
@@ -36,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.codes import folded_codes, mixed, steps, token_hashes, word_classes
-from strata.llm.common import Workspace, bit_table, flat_utf8
+from strata.llm.common import Workspace, bit_table, flat_utf8, row_mark, rows_marked
 from strata.llm.components import components
 
 WORDS = 4
@@ -45,6 +50,8 @@ HALVES = 13
 ROWS = 3
 STAR_ROUNDS = 1
 PARTS = 16
+#: Table keys that one task makes.
+KEYS_OF_TASK = 1_000_000
 #: Bits of the filter that spares documents without any candidate; 1 MB at most is broadcast.
 FILTER_BITS = 1 << 23
 
@@ -85,17 +92,17 @@ def set_digests(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 def half_keys(sets: np.ndarray, at: np.ndarray, halves: int, rows: int) -> np.ndarray:
-    """2 * halves half-keys of 32 bits for each text whose set is not empty."""
+    """2 * halves half-keys of 64 bits for each text whose set is not empty."""
     starts = at[:-1][np.diff(at) > 0]
     random = np.random.default_rng(61)
-    keys = np.empty((len(starts), 2 * halves), np.int32)
+    keys = np.empty((len(starts), 2 * halves), np.int64)
     for i in range(2 * halves):
         key = np.full(len(starts), i + 1, np.uint64)
         for j in range(rows):
             flip, times = random.integers(0, 1 << 63, 2, dtype=np.uint64)
             least = np.minimum.reduceat((sets ^ flip) * (times * np.uint64(2) + np.uint64(1)), starts) if len(starts) else key
             key = mixed(key * _TIMES[j] + least)
-        keys[:, i] = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        keys[:, i] = key.view(np.int64)
     return keys
 
 
@@ -110,16 +117,37 @@ def _sketches(docs: DataFrame, words: int, halves: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, last - first),
+                        batch.column(2).slice(first, last - first),
                         pa.array(sizes),
                         pa.array(set_digests(sets, at), pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[:, :halves].ravel())),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[:, halves:].ravel())),
                     ],
-                    ["doc_id", "n_shingles", "digest", "a", "b"],
+                    ["doc_id", "mark", "n_shingles", "digest", "a", "b"],
                 )
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(
-        sketch, "doc_id long, n_shingles long, digest binary, a array<int>, b array<int>"
+    text = docs["text"].cast("string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), row_mark(text).alias("mark")).mapInArrow(
+        sketch, "doc_id long, mark long, n_shingles long, digest binary, a array<long>, b array<long>"
+    )
+
+
+def _table_keys(nodes: DataFrame, work: Workspace, halves: int) -> DataFrame:
+    """(node, key) of every table key that may be shared: of halves that two nodes hold."""
+    spark = nodes.sparkSession
+    a = F.transform("a", lambda x: F.struct(F.lit(0).alias("side"), x.alias("half")))
+    b = F.transform("b", lambda x: F.struct(F.lit(1).alias("side"), x.alias("half")))
+    own = nodes.select("node", F.explode(F.concat(a, b)).alias("h")).select("node", "h.side", "h.half")
+    repeated = own.groupBy("half").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("half")
+    found = own.join(repeated, "half").groupBy("node").agg(
+        F.collect_list(F.when(F.col("side") == 0, F.col("half"))).alias("a"), F.collect_list(F.when(F.col("side") == 1, F.col("half"))).alias("b")
+    )
+    found = work.write(found.filter((F.size("a") > 0) & (F.size("b") > 0)), "halves")
+    keys = found.agg(F.sum((F.size("a") * F.size("b")).cast("long"))).first()[0] or 0
+    tensor = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
+    # each node makes up to halves ** 2 keys, so few files of nodes are dealt anew before
+    return found.repartition(max(1, keys // KEYS_OF_TASK)).select("node", F.explode(tensor).alias("key")) if keys else (
+        spark.createDataFrame([], "node long, key long")
     )
 
 
@@ -232,7 +260,16 @@ def near_duplicates(
     star_rounds: int = STAR_ROUNDS,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    work = Workspace(docs.sparkSession, "tensor-minhash")
+    component = F.coalesce("component_id", "doc_id")
+    return _grouped(docs, Workspace(docs.sparkSession, "tensor-minhash"), words, percent, halves, rows, star_rounds).select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+    )
+
+
+def _grouped(
+    docs: DataFrame, work: Workspace, words: int, percent: int, halves: int = HALVES, rows: int = ROWS, star_rounds: int = STAR_ROUNDS
+) -> DataFrame:
+    """doc_id, mark, n_shingles, label and component_id of each row; an empty set has no label and no component."""
     sketches = work.write(_sketches(docs, words, halves, rows), "sketches")
     classes = sketches.filter("n_shingles > 0").groupBy("digest").agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")
@@ -240,9 +277,8 @@ def near_duplicates(
     # written once: the numbers of the nodes last
     nodes = work.write(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    tensor = F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: F.xxhash64(a, b))))
-    keyed = nodes.select("node", F.explode(tensor).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("key")
+    keyed = _table_keys(nodes, work, halves)
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
     members = work.write(keyed.join(shared, "key"), "members")
 
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("digest", "node", "n")
@@ -295,21 +331,29 @@ def near_duplicates(
             continue
         labels = work.write(components(links, "tensor-components"), f"labels{i}")
 
-    joined = sketches.select("doc_id", "n_shingles", "digest")
-    found = nodes.select("digest", "node", "first_id")
+    for name in ("halves", "members", "wanted", "sets", "sizes", "linkable", "mixed", "together"):
+        work.drop(name)
+    found = nodes.select("digest", F.col("node").alias("label"), F.col("first_id").alias("component_id"))
     if labels is not None:
-        found = found.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        found = nodes.select("digest", "node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         least = found.groupBy("label").agg(F.min("first_id").alias("component_id"))
-        found = found.join(least, "label").select("digest", "component_id")
-    else:
-        found = found.select("digest", F.col("first_id").alias("component_id"))
-    component = F.coalesce("component_id", "doc_id")
-    return joined.join(found, "digest", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
-    )
+        found = found.join(least, "label").select("digest", "label", "component_id")
+    return sketches.select("doc_id", "mark", "n_shingles", "digest").join(found, "digest", "left").drop("digest")
 
 
 def keep_one_of_near(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates."""
-    kept = near_duplicates(docs, words, percent).filter("kept").select("doc_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*docs.columns)
+    """``docs`` with one row of each group of near-duplicates: of the least doc_id, then the least mark.
+
+    Rows without a word stay; rows that repeat in full stay once.
+    """
+    work = Workspace(docs.sparkSession, "near-kept")
+    rows = work.write(_grouped(docs, work, words, percent), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("first")
+    one = rows.filter("label IS NOT NULL").groupBy("label").agg(first).select("first.doc_id", "first.mark", "label")
+    # as often as the row stands in the table, so that rows that repeat are seen
+    one = rows.select("doc_id", "mark", "label").join(
+        one.select(*(F.col(c).alias(f"one_{c}") for c in one.columns)),
+        F.expr("label = one_label AND doc_id <=> one_doc_id AND mark = one_mark"), "left_semi",
+    )
+    kept = one.select("doc_id", "mark").union(rows.filter("label IS NULL").select("doc_id", "mark"))
+    return rows_marked(docs, work.write(kept, "kept"))
