@@ -187,6 +187,11 @@ def _mixed(docs: DataFrame, members: Column, weights: Sequence[int], epochs: int
     return shares, plan
 
 
+def _free_name(docs: DataFrame) -> str:
+    """A name that no column has, in any case."""
+    return "p" * (1 + max(map(len, docs.columns)))
+
+
 def _pattern(docs: DataFrame, members: Column | None) -> Column:
     return F.sort_array(F.array_distinct(F.array(docs["source"].cast("string")) if members is None else members))
 
@@ -227,7 +232,7 @@ def mixed_documents(
     last = shares.filter("part > 0 AND 2 * part >= size").groupBy("pattern").agg(F.max("rank").alias("last"))
     plan = plan.join(last, "pattern", "left").select("pattern", "even", "last")
     names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.withColumn("_pattern_of_row", pattern).toDF(*names, "pattern")
+    plain = docs.select(*(docs[c] for c in docs.columns), pattern.alias(_free_name(docs))).toDF(*names, "pattern")
     doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
     times = F.col("even") + F.coalesce((_rank(doc_id, seed) <= F.col("last")).cast("long"), F.lit(0))
     times = F.when(text.cast("string").rlike(WORD), times).otherwise(F.lit(0))
