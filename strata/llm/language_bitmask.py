@@ -7,12 +7,13 @@ that contains it.  A document's votes are per-language popcounts over its
 corrected for the filter's false positives, which its fill gives, and the
 greatest share wins.
 
-The filters are learned from at most ``FIT_DOCS`` documents of each language.  A
+The filters are learned from about ``FIT_DOCS`` documents of each language at most
+(each is drawn with that probability, by a hash of its text).  A
 language contains a gram that it shows at least ``LEAST`` times and at least
 ``RELATIVE`` times as often as the language that shows it most.  What goes to
 the driver and is broadcast is at most ``SLOTS`` masks.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0;
+Defined results: a null text, or one without a letter (Unicode category L), is ``und`` with score 0;
 ties go to the language first by code point; if no gram is known, the language
 with most documents is given with score 0; without any learned language all is
 ``und``; rows that repeat each get a row; an empty table gives an empty result;
@@ -22,12 +23,12 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+import regex
 
 from strata.llm.codes import mixed, steps
 from strata.llm.common import Workspace
@@ -37,7 +38,7 @@ HASHES = 3
 FIT_DOCS = 3_000
 LEAST = 3
 RELATIVE = 0.25
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 _BLANK = 0x20202020
 
 
@@ -81,7 +82,10 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray, str]:
     languages = sorted(sizes, key=lambda x: x.encode())
     if not languages:
         return [], np.zeros((1, SLOTS), np.uint64), ""
-    sample = known.sampleBy("lang", {k: min(1.0, FIT_DOCS / n) for k, n in sizes.items()}, seed=4)
+    # drawn by a hash of the text: the same rows however the table is cut into files
+    share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, FIT_DOCS / n))))
+    drawn = F.pmod(F.xxhash64("text", F.lit(4)), F.lit(1 << 32)) < F.element_at(share, F.col("lang")) * float(1 << 32)
+    sample = known.filter(drawn)
     number = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
