@@ -67,6 +67,19 @@ def splitter() -> regex.Pattern:
     return regex.compile(PATTERN)
 
 
+@lru_cache(maxsize=4)
+def _special_splitter(name: str) -> regex.Pattern:
+    longest = sorted(special_strings(name), key=len, reverse=True)
+    return regex.compile("|".join(map(regex.escape, longest)) or "(?!)")
+
+
+def pretokens(text: str, name: str) -> tuple[list[str], int]:
+    """The pre-tokens of a whole text, however its white space stands, and how many special strings it holds."""
+    parts = _special_splitter(name).split(text)
+    cut = splitter().findall
+    return [w for part in parts for w in cut(part)], len(parts) - 1
+
+
 class PartIds(dict):
     """Part after a space -> its ids as little-endian unsigned 32-bit bytes; holds at most ``limit`` parts."""
 

@@ -5,9 +5,10 @@ counted once: the common ones (a head learned from a bounded sample, at most
 ``HEAD_SIZE`` strings of at most ``HEAD_CHARS`` characters, so at most a few MB)
 before the pass and handed to every task, all others once each after a shuffle
 by the pre-token, from where their counts are joined to the per-document
-frequencies and summed.  No document's ids are ever built, but for texts that
-hold white space or special strings which keep them from being cut at spaces;
-those are encoded whole.
+frequencies and summed.  No document's ids are ever built.  A text is cut at its
+spaces, and each part into pre-tokens once; where white space or special strings
+keep it from being cut so, the whole text is cut into pre-tokens, and each
+special string is one token.
 
 Defined results: null and empty texts have no tokens; rows that repeat or share
 or lack a doc_id each get their own count; an empty table gives an empty result;
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import Workspace
-from strata.llm.pretokens import library, space_parts, special_strings, splitter
+from strata.llm.pretokens import library, pretokens, space_parts, special_strings, splitter
 
 VOCABULARY = "byte_bpe_50k.json"
 SAMPLE_DOCS = 6_000
@@ -71,16 +72,23 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = 102
     head = spark.sparkContext.broadcast(_head(docs, vocabulary))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, specials, whole, common = splitter().findall, special_strings(vocabulary), library(vocabulary), head.value
+        cut, specials, common = splitter().findall, special_strings(vocabulary), head.value
         parts: dict[str, tuple[int, tuple[str, ...]]] = {}  # a part's common pieces, summed, and its other pre-tokens
         for batch in batches:
             sums, rare_of, times_of = [], [], []
             for text in batch.column("text").to_pylist():
                 own = space_parts(text or "", specials)
                 if own is None:
-                    sums.append(len(whole.encode(text, add_special_tokens=False).ids))
-                    rare_of.append(None)
-                    times_of.append(None)
+                    words, known = pretokens(text, vocabulary)
+                    rare = Counter()
+                    for w, times in Counter(words).items():
+                        if w in common:
+                            known += times * common[w]
+                        else:
+                            rare[w] += times
+                    sums.append(known)
+                    rare_of.append(list(rare) or None)
+                    times_of.append(list(rare.values()) or None)
                     continue
                 known, rare = 0, Counter()
                 held = Counter(own[1:])
