@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.plans import composite, coordination, history, matching_rules, merging, ordering, scalars, streams, structural, texts
+from strata.plans import composite, coordination, history, matching_rules, merging, ordering, policies, scalars, streams, structural, texts
 from strata.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "composite", "coordination", "history", "matching_rules", "merging", "ordering", "scalars", "streams", "structural", "texts"]
+__all__ = ["ORACLES", "QUERIES", "composite", "coordination", "history", "matching_rules", "merging", "ordering", "policies", "scalars", "streams", "structural", "texts"]
