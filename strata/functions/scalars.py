@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strata.functions.text import stripped
+
 # Declaration kinds of the grammars and their short names.
 SHORT_KINDS = {
     "func": ("function_declaration", "function_definition", "function_item", "method_declaration"),
@@ -83,7 +85,7 @@ def short_hash(hash_: Column) -> Column:
 
 
 def author(name: Column, email: Column) -> Column:
-    name, email = F.trim(name), F.trim(email)
+    name, email = stripped(name), stripped(email)
     return F.when(name == "", "").when(email == "", name).otherwise(F.concat(name, F.lit(" <"), email, F.lit(">")))
 
 
@@ -160,19 +162,19 @@ def is_exported(name: Column) -> Column:
 
 
 def capabilities(raw: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(raw, ","), lambda x: stripped(x)), lambda x: x != "")))
 
 
 def limit(raw: Column, key: str) -> Column:
     """A positive number of ``key=number`` in a comma list, the last one; 0 without any."""
-    parts = F.transform(F.split(raw, ","), lambda x: F.trim(x))
+    parts = F.transform(F.split(raw, ","), lambda x: stripped(x))
     own = F.filter(parts, lambda x: x.rlike(rf"^{key}\s*=\s*\+?0*[1-9][0-9]*$"))
     return F.coalesce(F.try_to_number(F.regexp_extract(F.element_at(F.concat(F.array(F.lit("")), own), -1), r"([0-9]+)$", 1), F.lit("9" * 18)).cast("long"), F.lit(0))
 
 
 def object_filter(spec: Column) -> Column:
     """struct<type, blob_limit, tree_depth> of a filter, null for one that is not valid."""
-    s = F.trim(spec)
+    s = stripped(spec)
     number = F.regexp_extract(s, r"^(?:blob:limit=|tree:)\+?([0-9]+)$", 1).cast("long")
     none = F.lit(0).cast("long")
 
@@ -198,7 +200,7 @@ def qualified_name(module: Column, package: Column, name: Column) -> Column:
 
 def entity_changes(data: Column) -> Column:
     """array<struct<path, entity, change>> of ``path:key:change`` items; the key may hold colons, paths are escaped."""
-    items = F.filter(F.transform(F.split(data, ","), lambda x: F.trim(x)), lambda x: x.rlike("^[^:]*:.*:"))
+    items = F.filter(F.transform(F.split(data, ","), lambda x: stripped(x)), lambda x: x.rlike("^[^:]*:.*:"))
 
     def parsed(x: Column) -> Column:
         path = F.substring_index(x, ":", 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strata.functions.text import stripped
+
 #: The command line of the engine itself, which a caller can name otherwise.
 OWN_PROGRAM = "strata"
 
@@ -41,7 +43,7 @@ PROFILES = {
 
 
 def selector(kind: str, argv: Column) -> Column:
-    words = F.filter(F.transform(argv, lambda x: F.trim(x)), lambda x: x != "")
+    words = F.filter(F.transform(argv, lambda x: stripped(x)), lambda x: x != "")
     return F.concat(F.lit(kind + ":"), F.array_join(words, " "))
 
 

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def normalized(text: Column) -> Column:
     """Trimmed, runs of white space as one space, and - where nothing is left."""
     return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+", " "), F.lit("")), F.lit("-"))

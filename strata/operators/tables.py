@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the checkpoint folder, which survives lost executors.
 
-    The folder is ``spark.checkpoint.dir``; only a session without one gets a
-    folder of its own.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strata-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; without it local mode gets a folder of its own, and a cluster an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that its driver and executors share")
+    return tempfile.mkdtemp(prefix="strata-")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.functions.text import is_hash
+from strata.functions.text import is_hash, stripped
 
 INDEX = (
     "entries map<string, struct<path: string, blob_hash: string, entity_list_hash: string, mode: string, conflict: boolean, "
@@ -28,7 +28,7 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
 def read_refs(spark: SparkSession, folder: str, prefix: str = "") -> DataFrame:
     """(name, hash) of the refs below ``folder``/refs whose name begins with ``prefix``; a ref that holds no hash has a null."""
     files = _whole(spark, f"{folder}/refs")
-    name, text = F.substring_index("path", "/refs/", -1), F.trim(F.regexp_replace("text", r"\s+$", ""))
+    name, text = F.substring_index("path", "/refs/", -1), stripped(F.regexp_replace("text", r"\s+$", ""))
     return files.select(name.alias("name"), F.when(is_hash(text), text).alias("hash")).filter(F.col("name").startswith(prefix))
 
 
@@ -69,7 +69,7 @@ def parse_modules(files: DataFrame) -> DataFrame:
     Lines of a file are numbered within it, so sections need no order among files.
     """
     lines = files.select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    line = F.trim(F.regexp_replace("line", r"\s[#;].*$", ""))
+    line = stripped(F.regexp_replace("line", r"\s[#;].*$", ""))
     lines = lines.select("file", "no", line.alias("line")).filter("line != '' AND NOT startswith(line, '#') AND NOT startswith(line, ';')")
     name = F.regexp_extract("line", r'^\[module "(.*)"\]$', 1)
     ordered = F.array_sort(F.collect_list(F.struct("no", F.when(name != "", name).alias("name"), "line")))
@@ -78,7 +78,7 @@ def parse_modules(files: DataFrame) -> DataFrame:
     start = F.array(F.struct(F.lit("").alias("name"), F.lit("").alias("line")))
     carried = F.aggregate("l", start, lambda acc, x: F.concat(acc, F.array(F.struct(F.coalesce(x["name"], F.element_at(acc, -1)["name"]).alias("name"), x["line"].alias("line")))))
     rows = whole.select("file", F.explode(carried).alias("r")).select("file", "r.name", "r.line").filter("name != ''")
-    key, value = F.trim(F.substring_index("line", "=", 1)), F.trim(F.regexp_extract("line", "=(.*)$", 1))
+    key, value = stripped(F.substring_index("line", "=", 1)), stripped(F.regexp_extract("line", "=(.*)$", 1))
     return rows.groupBy("file", "name").agg(*(F.max(F.when(key == k, value)).alias(k) for k in MODULE_KEYS))
 
 
@@ -88,7 +88,7 @@ def read_modules(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_signers(lines: DataFrame) -> DataFrame:
     """(email, key) of lines ``email type data`` in column value; the last line of an email counts."""
-    part = F.split(F.trim("value"), " ", 3)
+    part = F.split(stripped(F.col("value")), " ", 3)
     rows = lines.filter("trim(value) != '' AND NOT startswith(trim(value), '#')").select(
         part[0].alias("email"), F.concat(part[1], F.lit(" "), part[2]).alias("key"), F.monotonically_increasing_id().alias("no")
     )
@@ -97,7 +97,7 @@ def parse_signers(lines: DataFrame) -> DataFrame:
 
 def parse_shallow(lines: DataFrame) -> DataFrame:
     """(hash) of the commits at which a shallow history ends; other lines are left out."""
-    text = F.trim("value")
+    text = stripped(F.col("value"))
     return lines.select(text.alias("hash")).filter(is_hash(F.col("hash"))).distinct()
 
 

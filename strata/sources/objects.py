@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions.text import stripped
 from strata.sources.records import parse_commits
 
 VERSION = "version 1"
@@ -58,7 +59,7 @@ def tree_texts(entries: DataFrame, by: str) -> DataFrame:
 def parse_entity_lists(objects: DataFrame) -> DataFrame:
     """hash, language, path, pos and entity, for each entity of each list."""
     head, body = _cut(F.col("t"))
-    refs = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    refs = F.filter(F.transform(F.split(body, "\n"), lambda x: stripped(x)), lambda x: x != "")
     lists = _text(objects, "entitylist").select("hash", _value(head, "language").alias("language"), _value(head, "path").alias("path"), refs.alias("refs"))
     return lists.select("hash", "language", "path", F.posexplode("refs").alias("pos", "entity"))
 
@@ -85,7 +86,7 @@ def entity_text(kind: Column, name: Column, decl_kind: Column, receiver: Column,
 def parse_tags(objects: DataFrame) -> DataFrame:
     """hash, target and body of each tag object."""
     head, body = _cut(F.col("t"))
-    return _text(objects, "tag").select("hash", F.trim(_value(head, "target")).alias("target"), body.alias("body"))
+    return _text(objects, "tag").select("hash", stripped(_value(head, "target")).alias("target"), body.alias("body"))
 
 
 def tag_text(target: Column, body: Column) -> Column:

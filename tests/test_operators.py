@@ -94,3 +94,26 @@ def test_ignore_rules(spark):
     df = spark.createDataFrame([(p,) for p in paths], "path string")
     got = {r.path for r in df.filter(rules.ignored(F.col("path"), held)).collect()}
     assert got == {"build", "build/x", "a/build", "a/build/x", "foo", "a/foo", "x7", "d/x7", ".git", "a/.git", "z.log", "m/sub/f", "docs/a/b.md", "docs/b.md"}
+
+
+def test_streamed_claims_by_hand(spark):
+    """Every event of every key, in order, against a plain loop over the table."""
+    from strata.plans.streams import stream_claims
+
+    sf_dir = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").collect()
+    holder, wanted = {}, []
+    for e in events:
+        key = f"{e.user_id // 10}:{e.event_id % 7}"
+        held = holder.get(key)
+        if e.event_type == "view":
+            outcome = "released" if held == e.user_id else "ignored"
+            held = None if held == e.user_id else held
+        elif e.event_type == "error":
+            outcome, held = ("granted" if held is None else "taken"), e.user_id
+        else:
+            outcome = "granted" if held in (None, e.user_id) else "refused"
+            held = e.user_id if held is None else held
+        holder[key] = held
+        wanted.append((key, e.event_id, e.user_id, outcome, held))
+    assert sorted(map(tuple, stream_claims(spark, sf_dir).collect()), key=lambda r: r[1]) == wanted
