@@ -8,7 +8,7 @@ it.  Chains double their step instead, so a chain of n takes log n joins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.operators.tables import settled
@@ -18,7 +18,7 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, distance): everything the roots (column node) reach, themselves included, by fewest steps."""
     seen = settled(roots.select("node").distinct().withColumn("distance", F.lit(0)))
     frontier, step = seen, 0
-    links = edges.select("child", "parent").distinct()
+    links = settled(edges.select("child", "parent").distinct())
     while True:
         step += 1
         new = (
@@ -28,7 +28,7 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
         frontier = settled(new)
         if frontier.isEmpty():
             return seen
-        seen = settled(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # each round's table once; only the frontier is written
 
 
 def tips(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -73,10 +73,49 @@ def generations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return done if done is not None else waiting.withColumn("generation", F.lit(0).cast("long"))
 
 
-def merge_base(edges: DataFrame, generation: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """The common ancestor of greatest generation, ties to the smallest node: at most one row."""
-    common = closure(edges, a).select("node").join(closure(edges, b).select("node"), "node")
-    return common.join(generation, "node").orderBy(F.desc("generation"), "node").limit(1)
+def merge_base(nodes: DataFrame, edges: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """The common ancestor of greatest generation, ties to the smallest node: at most one row.
+
+    Whatever a common ancestor reaches is common too, so generations are counted
+    among the common ones alone.
+    """
+    common = settled(closure(edges, a).select("node").join(closure(edges, b).select("node"), "node").join(nodes.select("node"), "node", "left_semi"))
+    inside = edges.join(common.select(F.col("node").alias("child")), "child", "left_semi")
+    return generations(common, inside).orderBy(F.desc("generation"), "node").limit(1)
+
+
+def is_ancestor(reach: DataFrame, pairs: DataFrame) -> DataFrame:
+    """tip, other, ancestor: whether each tip reaches the other; an own ancestor counts."""
+    held = reach.select("tip", F.col("node").alias("other")).withColumn("ancestor", F.lit(True))
+    return pairs.join(held, ["tip", "other"], "left").select("tip", "other", F.coalesce("ancestor", F.lit(False)).alias("ancestor"))
+
+
+def ahead_behind(reach: DataFrame, pairs: DataFrame) -> DataFrame:
+    """tip, other, ahead, behind: commits that only the one or only the other reaches."""
+    turned = pairs.select(F.col("tip").alias("other"), F.col("other").alias("tip"))
+
+    def counts(p: DataFrame, name: str) -> DataFrame:
+        return push_sets(reach, p).groupBy("tip", "other").agg(F.count(F.lit(1)).alias(name))
+
+    behind = counts(turned, "behind").select(F.col("tip").alias("other"), F.col("other").alias("tip"), "behind")
+    found = pairs.join(counts(pairs, "ahead"), ["tip", "other"], "left").join(behind, ["tip", "other"], "left")
+    return found.fillna(0, ["ahead", "behind"])
+
+
+def until(chains: DataFrame, stops: DataFrame) -> DataFrame:
+    """The part of each first-parent chain before the first of the commits (column node) at which to stop."""
+    first = chains.join(stops.select("node"), "node", "left_semi").groupBy("tip").agg(F.min("depth").alias("stop"))
+    return chains.join(first, "tip", "left").filter("stop IS NULL OR depth < stop").drop("stop")
+
+
+def skip_candidates(candidates: DataFrame, skipped: DataFrame) -> DataFrame:
+    """The candidate (column node, distance) nearest to the middle that is not skipped: at most one row."""
+    ranked = candidates.withColumn("i", F.row_number().over(Window.orderBy(F.desc("distance"), "node")) - 1)
+    middle = F.floor(F.count(F.lit(1)).over(Window.partitionBy()) / 2)
+    return (
+        ranked.withColumn("off", F.abs(F.col("i") - middle)).join(skipped.select("node"), "node", "left_anti")
+        .orderBy("off", "i").limit(1).select("node")
+    )
 
 
 def first_parents(edges: DataFrame) -> DataFrame:
@@ -96,7 +135,7 @@ def chain(edges: DataFrame, tips: DataFrame) -> DataFrame:
         more = settled(more)
         if more.isEmpty():
             return found
-        found = settled(found.unionByName(more))
+        found = found.unionByName(more)
         j = jump.select(F.col("child").alias("middle"), F.col("parent").alias("far"))
         jump = settled(jump.join(j, jump["parent"] == j["middle"]).select("child", F.col("far").alias("parent")))
         width *= 2

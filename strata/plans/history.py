@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.operators import graph as G
+from strata.operators.tables import settled
 from strata.plans.registry import query, table
 
 
@@ -56,8 +57,7 @@ def generation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(DAG + _reach("a", 1495) + "," + _reach("b", 1240) + "," + GENERATION + """
  SELECT node, generation FROM a JOIN b USING (node) JOIN gen USING (node) ORDER BY generation DESC, node LIMIT 1""")
 def merge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(spark, sf_dir)
-    return G.merge_base(edges, G.generations(_commits(spark, sf_dir), edges), _node(spark, 1495), _node(spark, 1240))
+    return G.merge_base(_commits(spark, sf_dir), _edges(spark, sf_dir), _node(spark, 1495), _node(spark, 1240))
 
 
 @query(DAG + _reach("a", 1495) + "," + _reach("b", 740) + " SELECT node FROM a EXCEPT SELECT node FROM b")
@@ -111,6 +111,48 @@ def push_set_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.push_sets(*_reach_of_tips(spark, sf_dir)).select("tip", "other", "node")
 
 
+@query()
+def fast_forward_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tips already hold their author's tip before, so that moving to them is a fast-forward."""
+    return G.is_ancestor(*_reach_of_tips(spark, sf_dir))
+
+
+@query()
+def ahead_behind_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each tip and its author's tip before have gone apart."""
+    return G.ahead_behind(*_reach_of_tips(spark, sf_dir))
+
+
+@query(DAG + """
+c(tip, node, depth) AS (SELECT o_orderkey, o_orderkey, CAST(0 AS BIGINT) FROM orders UNION ALL SELECT c.tip, e.parent, c.depth + 1 FROM c JOIN e ON e.child = c.node AND e.ord = 0
+  WHERE c.node NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey < 5))
+SELECT tip, node, depth FROM c WHERE node NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey < 5)
+""")
+def log_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each commit's first-parent history would be replayed: down to the nearest commit of some authors."""
+    commits = _commits(spark, sf_dir)
+    return G.until(G.chain(_edges(spark, sf_dir), commits), commits.filter("author < 5"))
+
+
+@query(BISECT + """, k AS (SELECT node, row_number() OVER (ORDER BY distance DESC, node) - 1 AS i, count(*) OVER () // 2 AS m FROM c)
+ SELECT node FROM k WHERE node % 3 <> 0 ORDER BY abs(i - m), i LIMIT 1""")
+def bisect_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next commit to test when some cannot be tested."""
+    candidates = G.bisect_candidates(_edges(spark, sf_dir), _node(spark, 1495), _node(spark, 18))
+    return G.skip_candidates(candidates, _commits(spark, sf_dir).filter("node % 3 = 0"))
+
+
+@query(DAG + """
+p2 AS (SELECT child AS node, parent FROM e WHERE ord = 1), p1 AS (SELECT child AS node, parent FROM e WHERE ord = 0)
+SELECT a.node, b.parent AS ancestor FROM p2 a JOIN p1 b ON b.node = a.parent
+""")
+def second_parent_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The revision ^2~1 of every merge: the second parent's first parent."""
+    e = _edges(spark, sf_dir)
+    second = e.filter("ord = 1").select(F.col("child").alias("node"), F.col("parent").alias("at"))
+    return second.join(G.first_parents(e), F.col("at") == F.col("child")).select("node", F.col("parent").alias("ancestor"))
+
+
 @query()
 def bisect_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tip is the bad commit, the other one the good."""
@@ -226,17 +268,17 @@ def _touched(versions: DataFrame) -> DataFrame:
 
 @query("""SELECT r_name || '/' || n_name || '/' || c_name AS path, sha256(c_name || c_mktsegment) AS blob FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def tree_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tree's files with their full paths; the trees are region, nation, customer."""
+    """A tree's files with their full paths; the trees are region, nation, customer.  Each level is a table of its own."""
     nodes = (
         table(spark, sf_dir, "region").select(F.lit(None).cast("string").alias("parent"), F.concat(F.lit("r"), "r_regionkey").alias("node"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("blob"))
         .unionByName(table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.concat(F.lit("n"), "n_nationkey").alias("node"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("blob")))
         .unionByName(table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("parent"), F.concat(F.lit("c"), "c_custkey").alias("node"), F.col("c_name").alias("name"), F.sha2(F.concat("c_name", "c_mktsegment"), 256).alias("blob")))
     )
-    level = nodes.filter("parent IS NULL").select("node", F.col("name").alias("path"), "blob")
+    level = settled(nodes.filter("parent IS NULL").select("node", F.col("name").alias("path"), "blob"))
     files = None
     while not level.isEmpty():
         done = level.filter("blob IS NOT NULL").select("path", "blob")
         files = done if files is None else files.unionByName(done)
         up = level.filter("blob IS NULL").select(F.col("node").alias("parent"), F.col("path").alias("prefix"))
-        level = nodes.join(up, "parent").select("node", F.concat_ws("/", "prefix", "name").alias("path"), "blob")
+        level = settled(nodes.join(up, "parent").select("node", F.concat_ws("/", "prefix", "name").alias("path"), "blob"))
     return files
