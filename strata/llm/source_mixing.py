@@ -37,6 +37,8 @@ SEED = 11
 #: Hex digits of the seeded rank that name a slice of a pattern's order.  Sums are
 #: taken within slices and over slices, so no task orders a whole source.
 SLICE_DIGITS = 3
+#: Patterns up to which the plan is broadcast.
+SMALL_PLAN = 10_000
 
 
 def words(docs: DataFrame, *columns: Column) -> DataFrame:
@@ -237,7 +239,10 @@ def mixed_documents(
     times = F.col("even") + F.coalesce((_rank(doc_id, seed) <= F.col("last")).cast("long"), F.lit(0))
     times = F.when(text.cast("string").rlike(WORD), times).otherwise(F.lit(0))
     copies = F.when(times > 0, F.sequence(F.lit(1), times.cast("int")))
+    plan = Workspace(docs.sparkSession, "mixing-plan").write(plan, "plan")
+    if plan.count() <= SMALL_PLAN:  # as a rule a few rows, and one pattern can have a third of all documents
+        plan = F.broadcast(plan)
     return (
-        plain.join(Workspace(docs.sparkSession, "mixing-plan").write(plan, "plan"), "pattern")
+        plain.join(plan, "pattern")
         .withColumn("copy", F.explode(copies)).select(*names).toDF(*docs.columns)
     )
