@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.operators import coordination as C
@@ -131,3 +131,54 @@ def shortlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("age"), "o_orderkey")))
     titles = F.array_join(F.transform(newest, lambda r: r["o_orderkey"].cast("string")), ",")
     return o.groupBy(F.col("o_custkey").alias("author")).agg(F.count(F.lit(1)).alias("commits"), titles.alias("titles"))
+
+
+@query("""
+WITH l AS (SELECT user_id, arg_max(event_type, ts) AS last, max(ts) AS seen_at, min(ts) AS since FROM events GROUP BY user_id)
+SELECT user_id, since, seen_at FROM l WHERE last <> 'error'
+""")
+def agents_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agents that are there: their last event is no departure; since when, and last seen."""
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "ts").alias("last"), F.max("ts").alias("seen_at"), F.min("ts").alias("since"))
+    return e.filter("last != 'error'").select("user_id", "since", "seen_at")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END AS holder, o_custkey % 3 = 0 AS moved FROM orders
+""")
+def claims_transferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims handed over: only the present holder can hand one on."""
+    claims = table(spark, sf_dir, "orders").select(F.col("o_orderkey"), F.col("o_custkey").alias("owner"))
+    asked = claims.select("o_orderkey", F.when(F.col("owner") % 3 == 0, F.col("owner")).otherwise(F.col("owner") + 9).alias("from"), (F.col("owner") + 1).alias("to"))
+    moved = F.col("owner") == F.col("from")
+    return claims.join(asked, "o_orderkey").select("o_orderkey", F.when(moved, F.col("to")).otherwise(F.col("owner")).alias("holder"), moved.alias("moved"))
+
+
+@query("""
+SELECT event_id % 97 AS spawn, CASE WHEN bool_or(event_type = 'purchase') THEN 'finished' WHEN bool_or(event_type = 'view') THEN 'active' ELSE 'authorized' END AS status,
+  arg_min(user_id, ts) FILTER (event_type IN ('view', 'purchase')) AS child, max(ts) FILTER (event_type IN ('view', 'purchase')) AS heartbeat_at FROM events GROUP BY 1
+""")
+def spawn_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Child agents from their touches and ends: the first that touches one is the child, an end is final."""
+    e = table(spark, sf_dir, "events")
+    alive = F.col("event_type").isin("view", "purchase")
+    status = F.when(F.bool_or(F.col("event_type") == "purchase"), "finished").when(F.bool_or(F.col("event_type") == "view"), "active").otherwise("authorized")
+    return e.groupBy((F.col("event_id") % 97).alias("spawn")).agg(
+        status.alias("status"), F.min_by("user_id", F.when(alive, F.col("ts"))).alias("child"), F.max(F.when(alive, F.col("ts"))).alias("heartbeat_at")
+    )
+
+
+@query("""
+SELECT conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY length(text) DESC, conv_id, turn) AS place FROM conversations
+""")
+def notes_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of each role, the longest first."""
+    w = Window.partitionBy("role").orderBy(F.desc(F.length("text")), "conv_id", "turn")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("""SELECT l_partkey AS file, count(*) AS claims, min(l_suppkey) AS first_holder FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey""")
+def claims_for_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claims on each file."""
+    li = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
+    return li.groupBy(F.col("l_partkey").alias("file")).agg(F.count(F.lit(1)).alias("claims"), F.min("l_suppkey").alias("first_holder"))

@@ -237,3 +237,21 @@ def test_renames_are_those_of_the_greedy_order(spark, monkeypatch):
     monkeypatch.setattr(GroupedData, "applyInPandas", None)  # no kind is gathered in one task
     assert {tuple(r) for r in renames.renamed(*frames).collect()} == wanted
     assert {tuple(r) for r in renames.assign(renames.candidates(*frames)).collect()} == wanted
+
+
+def test_hunk_ranges_by_hand(spark):
+    from strata.operators.code import hunk_ranges
+
+    rng = random.Random(2)
+    scripts = [(i, [("=", "x") if rng.random() < 0.8 else (rng.choice("+-"), "y") for _ in range(rng.randint(0, 40))]) for i in range(40)]
+    wanted = set()
+    for key, ops in scripts:
+        changed = [i for i, (o, _) in enumerate(ops) if o != "="]
+        held = sorted({j for i in changed for j in range(max(0, i - 3), min(len(ops), i + 4))})
+        runs = [[j for j in held if j - held.index(j) == g] for g in sorted({j - held.index(j) for j in held})]
+        for number, run in enumerate(runs, 1):
+            old, new = (1 + sum(o in ("=", s) for o, _ in ops[: run[0]]) for s in "-+")
+            counts = [sum(ops[j][0] in ("=", s) for j in run) for s in "-+"]
+            wanted.add((key, number, old - (not counts[0]), counts[0], new - (not counts[1]), counts[1]))
+    df = spark.createDataFrame(scripts, "id long, ops array<struct<op:string,line:string>>")
+    assert {tuple(r) for r in hunk_ranges(df, "id").collect()} == wanted
