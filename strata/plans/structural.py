@@ -134,3 +134,50 @@ def code_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = extracted(source_files(spark, sf_dir), ["path"], "base").filter("kind = 'declaration'")
     lines = e.select("name", F.explode(F.split("body", "\n")).alias("line")).filter(F.col("line").rlike(r"(?<![A-Za-z0-9_])keep(?![A-Za-z0-9_])"))
     return lines.groupBy(F.col("name").alias("caller"), F.trim(F.translate("line", "\t", " ")).alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+IMPORTS_SQL = """
+WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, 'm' || CAST(l_partkey % 50 AS VARCHAR) AS m FROM lineitem), f AS (SELECT DISTINCT k FROM l),
+b AS (SELECT DISTINCT k, m FROM l WHERE n <> 4), o AS (SELECT DISTINCT k, m FROM l WHERE n <> 1), t AS (SELECT DISTINCT k, m FROM l WHERE n <> 2),
+u AS (SELECT k, m FROM (SELECT * FROM o UNION SELECT * FROM t) x WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.k = x.k AND b.m = x.m AND (
+  NOT EXISTS (SELECT 1 FROM o WHERE o.k = x.k AND o.m = x.m) OR NOT EXISTS (SELECT 1 FROM t WHERE t.k = x.k AND t.m = x.m)))
+  UNION SELECT k, 'fmt' FROM f UNION SELECT k, 'os' FROM f)
+SELECT 'o' || CAST(k AS VARCHAR) || '.go' AS path, 'package p' || chr(10) || chr(10) || 'import (' || chr(10) || string_agg(chr(9) || '"' || m || '"' || chr(10), '' ORDER BY m) || ')' ||
+  chr(10) || chr(10) || 'func F() {}' || chr(10) AS merged, CAST(0 AS INTEGER) AS conflicts FROM u GROUP BY k
+"""
+
+
+@query(IMPORTS_SQL)
+def merge_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Import blocks that both sides changed, merged as sets inside the structural merge."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.format_string("m%d", F.col("l_partkey") % 50).alias("m"))
+    always = F.array(F.lit("fmt"), F.lit("os"))
+
+    def text(left_out: int) -> Column:
+        names = F.array_sort(F.array_union(F.collect_set(F.when(F.col("n") != left_out, F.col("m"))), always))
+        block = F.array_join(F.transform(names, lambda x: F.concat(F.lit('\t"'), x, F.lit('"\n'))), "")
+        return F.concat(F.lit("package p\n\nimport (\n"), block, F.lit(")\n\nfunc F() {}\n"))
+
+    files = li.groupBy("k").agg(text(4).alias("base"), text(1).alias("ours"), text(2).alias("theirs"))
+    files = files.select(F.format_string("o%d.go", "k").alias("path"), F.lit("go").alias("lang"), "base", "ours", "theirs")
+    return M.merge_files(files).select("path", "merged", "conflicts")
+
+
+@query(f"""
+WITH {LINES_SQL},
+r AS (SELECT k, n AS place, 'A' || CAST(n AS VARCHAR) || ' T' || CASE WHEN p % 7 = 0 THEN 'o' WHEN p % 5 = 0 THEN 't' ELSE '' END || {V} AS field FROM l
+  UNION ALL SELECT DISTINCT k, 100, 'Ours int' FROM l UNION ALL SELECT DISTINCT k, 101, 'Theirs int' FROM l WHERE k % 2 = 0)
+SELECT 'o' || CAST(k AS VARCHAR) || '.go' AS path, 'package p' || chr(10) || chr(10) || 'type T struct {{' || chr(10) || string_agg(chr(9) || field || chr(10), '' ORDER BY place) || '}}' || chr(10) AS merged,
+  CAST(0 AS INTEGER) AS conflicts FROM r GROUP BY k
+""".replace("{{", "{").replace("}}", "}"))
+def merge_struct_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of one struct that both sides retype and add, in the order of the base, then ours, then theirs."""
+    once = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"))
+    p = F.col("p")
+    mark = {"base": F.lit(""), "ours": F.when(p % 7 == 0, "o").otherwise(""), "theirs": F.when((p % 7 != 0) & (p % 5 == 0), "t").otherwise("")}
+    lines = [F.format_string("\tA%d T%s%d\n", "n", m, p).alias(s) for s, m in mark.items()]
+    listed = F.array_sort(F.collect_list(F.struct("n", *lines)))
+    files = once.groupBy("k").agg(listed.alias("f"))
+    more = {"base": F.lit(""), "ours": F.lit("\tOurs int\n"), "theirs": F.when(F.col("k") % 2 == 0, "\tTheirs int\n").otherwise("")}
+    text = [F.concat(F.lit("package p\n\ntype T struct {\n"), F.array_join(F.col("f")[s], ""), more[s], F.lit("}\n")).alias(s) for s in mark]
+    return M.merge_files(files.select(F.format_string("o%d.go", "k").alias("path"), F.lit("go").alias("lang"), *text)).select("path", "merged", "conflicts")
