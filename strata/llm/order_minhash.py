@@ -141,7 +141,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")
     ).select("id", row_mark(F.col("text")).alias("mark"), "text", F.length("text").alias("n"))
     following = _successors(docs.drop("text"), work)
-    own = _with_tuples(docs, "text", "own")
+    # both joins read the same four columns, so that the texts are dealt out once for the two of them
+    own = _with_tuples(docs.drop("n"), "text", "own")
     # to the document before: its replacement text, and the fingerprint
     to = following.select(F.col("id").alias("to_id"), F.col("mark").alias("to_mark"), "half", F.col("next_id").alias("id"), F.col("next_mark").alias("mark"))
     sent = own.join(to, ["id", "mark"]).select(
@@ -149,7 +150,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
     if not following.filter("copies > 1").isEmpty():  # rows that repeat send the same
         sent = sent.dropDuplicates(["id", "mark"])
-    df = own.join(sent, ["id", "mark"])
+    df = own.join(sent, ["id", "mark"]).withColumn("n", F.length("text"))
     df = df.withColumn("edited", F.concat(F.left("text", F.col("n") - F.col("half")), F.col("new"))).drop("text", "new")
     df = _with_tuples(df, "edited", "changed")
     return df.select(
