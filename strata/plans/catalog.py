@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.plans import code, composite, coordination, history, matching_rules, merging, objects, ordering, policies, scalars, streams, structural, texts
+from strata.plans import code, composite, coordination, history, matching_rules, merging, objects, ordering, policies, scalars, streams, structural, texts, versions
 from strata.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "code", "composite", "coordination", "history", "matching_rules", "merging", "objects", "ordering", "policies", "scalars", "streams", "structural", "texts"]
+__all__ = ["ORACLES", "QUERIES", "code", "composite", "coordination", "history", "matching_rules", "merging", "objects", "ordering", "policies", "scalars", "streams", "structural", "texts", "versions"]

@@ -40,7 +40,7 @@ SELECT user_id, last_seen, last_seen >= (SELECT max(ts) FROM events) - INTERVAL
 """)
 def presence_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "ts")
-    return C.live(e, "user_id", "ts", F.lit(e.agg(F.max("ts")).first()[0]), 86400)
+    return C.live(e, "user_id", "ts", e.agg(F.max("ts")).scalar(), 86400)
 
 
 @query("""
@@ -51,7 +51,7 @@ SELECT user_id, coalesce(claims, 0) AS released FROM l LEFT JOIN c USING (user_i
 def stale_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agents to evict, with the number of claims that fall free."""
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_type")
-    gone = C.live(e, "user_id", "ts", F.lit(e.agg(F.max("ts")).first()[0]), 43200).filter("NOT alive")
+    gone = C.live(e, "user_id", "ts", e.agg(F.max("ts")).scalar(), 43200).filter("NOT alive")
     claims = e.filter("event_type = 'click'").groupBy("user_id").agg(F.count(F.lit(1)).alias("claims"))
     return gone.join(claims, "user_id", "left").select("user_id", F.coalesce("claims", F.lit(0)).cast("long").alias("released"))
 
