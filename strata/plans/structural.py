@@ -181,3 +181,30 @@ def merge_struct_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = {"base": F.lit(""), "ours": F.lit("\tOurs int\n"), "theirs": F.when(F.col("k") % 2 == 0, "\tTheirs int\n").otherwise("")}
     text = [F.concat(F.lit("package p\n\ntype T struct {\n"), F.array_join(F.col("f")[s], ""), more[s], F.lit("}\n")).alias(s) for s in mark]
     return M.merge_files(files.select(F.format_string("o%d.go", "k").alias("path"), F.lit("go").alias("lang"), *text)).select("path", "merged", "conflicts")
+
+
+def _text_sql(first: str, last: str, end: str) -> str:
+    return f"""'package o' || CAST(k AS VARCHAR) || chr(10) || chr(10) || string_agg({FUNCTION_SQL.format(first=first, last=last)}, chr(10) || chr(10) ORDER BY n) || {end} || chr(10)"""
+
+
+OURS_END = "CASE WHEN k % 2 = 0 THEN chr(10) || chr(10) || 'func Ours() {}' ELSE '' END"
+THEIRS_END = "CASE WHEN k % 3 = 0 THEN chr(10) || chr(10) || 'func Theirs() {}' ELSE '' END"
+
+
+@query(f"""
+WITH m AS ({MERGED_SQL}),
+{LINES_SQL},
+t AS (SELECT k, 'o' || CAST(k AS VARCHAR) || '.go' AS path, {_text_sql(V, "'x'", "''")} AS base, {_text_sql(OURS_FIRST, "'x'", OURS_END)} AS ours, {_text_sql(THEIRS_FIRST, THEIRS_LAST, THEIRS_END)} AS theirs
+  FROM l GROUP BY k)
+SELECT path, CASE WHEN k % 10 = 1 OR ours = theirs OR theirs = base THEN ours WHEN k % 10 = 2 OR ours = base THEN theirs ELSE merged END AS merged,
+  CASE WHEN (k % 10 = 1 AND ours <> base) OR (k % 10 = 2 AND theirs <> base) THEN 1 WHEN k % 10 IN (1, 2) OR ours = theirs OR theirs = base OR ours = base THEN 0 ELSE conflicts END AS conflicts
+FROM t JOIN m USING (path) WHERE NOT (k % 10 = 1 AND ours = base) AND NOT (k % 10 = 2 AND theirs = base)
+""")
+def merge_whole_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree merged: files by their hashes, those that both sides changed by their entities; each side deletes a tenth."""
+    files = source_files(spark, sf_dir)
+    k = F.regexp_extract("path", r"\d+", 0).cast("long") % 10
+    sides = [files.select("path", "lang", F.col(s).alias("text")) for s in M.SIDES]
+    sides[2] = sides[2].filter(k != 1)
+    sides[1] = sides[1].filter(k != 2)
+    return M.merge_trees(*sides).select("path", "merged", "conflicts")
