@@ -14,7 +14,7 @@ from strata.llm.common import WHITE_BYTES, flat_utf8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 #: Texts are taken together up to so many bytes; a longer text is taken alone.
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
