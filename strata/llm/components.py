@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import Workspace
 
+#: Edges of a file, so that rounds over few edges do not write many small files.
+EDGES_OF_FILE = 250_000
+
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Each node's neighbours (large: the greater ones) are tied to the least of itself and its neighbours.
@@ -35,15 +38,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     work = Workspace(edges.sparkSession, name)
     edges = work.write(edges.select("u", "v").filter("u != v").distinct(), "round0")
+    files = 1 + edges.count() // EDGES_OF_FILE  # a round has no more edges than twice the one before
     before, i = None, 0
     while True:
         i += 1
-        edges = work.write(_stars(_stars(edges, large=True), large=False), f"round{i}")
+        edges = work.write(_stars(_stars(edges, large=True), large=False).coalesce(2 * files), f"round{i}")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if i > 1:
             work.drop(f"round{i - 1}")
         if now == before:
             break
-        before = now
+        before, files = now, 1 + now[0] // EDGES_OF_FILE
     labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return labels.union(labels.select(F.col("label").alias("node"), "label").distinct())
+    return labels.union(labels.select(F.col("label").alias("node"), "label").distinct()).coalesce(2 * files)
