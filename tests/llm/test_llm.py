@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 import hashlib
+import math
 import random
 import re
 import string
+import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -15,6 +18,7 @@ import pytest
 from public_tokenizers import path
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+import xxhash
 
 import corpus_pipeline
 from strata.llm import (
@@ -29,8 +33,9 @@ from strata.llm import (
     tensor_minhash,
     token_counts,
 )
+from strata.llm.codes import byte_codes, word_or_mark_classes
 from strata.llm.components import components
-from strata.llm.pretokens import PartIds
+from strata.llm.pretokens import PartIds, merges, pretokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -100,6 +105,45 @@ def test_resampling_ranks_target_text_first(spark):
     assert {r.doc_id for r in stay.collect()} == kept and stay.columns[-1] == "log_weight"
 
 
+def test_resampling_by_hand(docs, rows, labels):
+    """Weights from token and pair counts, noise from the hash of doc_id, and the documents drawn."""
+    token = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+")
+    kinds, codes = word_or_mark_classes(), byte_codes()
+
+    def buckets(*tokens):  # of each token, or of a pair of them
+        data = b" ".join(tokens)
+        found, _ = importance_resampling._grams(np.frombuffer(data, np.uint8), np.array([0, len(data)]), kinds, codes)
+        return int(found[-1])
+
+    def grams(text):
+        t = token.findall((text or "").encode())
+        return [buckets(x) for x in t] + [buckets(x, y) for x, y in zip(t, t[1:])]
+
+    good = {3, 8}
+    raw, target = Counter(), Counter()
+    for r in rows:
+        raw.update(grams(r[1]))
+        if r[0] in good:
+            target.update(grams(r[1]))
+    size = importance_resampling.BUCKETS
+    totals = [sum(c.values()) + size for c in (target, raw)]
+    wanted = []
+    for r in rows:
+        weight = sum(math.log((target[b] + 1) / totals[0]) - math.log((raw[b] + 1) / totals[1]) for b in grams(r[1]))
+        h = xxhash.xxh64_intdigest((17).to_bytes(4, "little"), 42)
+        h = h if r[0] is None else xxhash.xxh64_intdigest(r[0].to_bytes(8, "little"), h)
+        unit = (((h ^ 1 << 63) - (1 << 63)) % (1 << 52) + 0.5) / (1 << 52)
+        wanted.append((r[0], weight, weight - math.log(-math.log(unit))))
+    keep = math.ceil(len(rows) * min(1.0, 3 / 4 + 2 * math.sqrt(3 / 4 / 4 / 4)))
+    least = sorted((w[2] for w in wanted), reverse=True)[keep - 1]
+    found = importance_resampling.resample(docs.withColumns({x: F.lit(0) for x in ("bucket", "raw", "log_weight")}), labels).collect()
+
+    def rounded(rows):
+        return Counter((i, round(a, 6), round(b, 6), k) for i, a, b, k in rows)
+
+    assert rounded((r.doc_id, r.log_weight, r.noisy_weight, r.kept) for r in found) == rounded((*w, w[2] >= least - 1e-9) for w in wanted)
+
+
 def test_resampling_of_awkward_rows(docs, empty, labels):
     found = importance_resampling.resample(docs, labels).collect()
     assert len(found) == docs.count()
@@ -156,41 +200,93 @@ def test_dedup_state_carries_on(spark, docs, rows, empty, tmp_path):
     assert once.count() == len(dedup_by_hand(rows) and {re.sub(r"[\x20\x09-\x0D]", "", r[1] or "") for r in rows})
 
 
+def test_a_text_that_is_not_found_again_is_an_error(spark, tmp_path):
+    """Tables without files have no locator, so a hit on an earlier text cannot be compared with it."""
+    state, digest = str(tmp_path / "state"), lambda body: b"same"
+    stream_dedup.exact_dedup(spark.createDataFrame([(1, "a", None, None, 1)], SCHEMA), state, digest).collect()
+    with pytest.raises(ValueError):
+        stream_dedup.exact_dedup(spark.createDataFrame([(2, "b", None, None, 1)], SCHEMA), state, digest).collect()
+
+
+def test_rows_without_an_id_are_told_apart(spark):
+    rows = [(None, "x", None, None, 1), (1, "x", None, None, 1), (None, "y", None, None, 1), (None, "y", None, None, 1), (1, "z z z z z z", None, None, 11), (2, "z z z z z z", None, None, 11)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({x: F.lit(0) for x in ("mark", "digest", "label", "kept", "node", "text_sha256", "locator", "body")})
+    for keep in (stream_dedup.keep_first_of_equal, tensor_minhash.keep_one_of_near):
+        found = keep(docs)
+        assert found.columns == docs.columns
+        assert sorted((r.text, r.doc_id is None or r.doc_id) for r in found.collect()) == [("x", 1), ("y", True), ("z z z z z z", 1)]
+
+
 # 3 ------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("range_rows", [3, 1500])
+def tuples_by_hand(text):
+    """Each rotation's two next k-mers on the circle of hashes, in text order, hashed."""
+    words = WORD.findall(text or "")
+    high = (1 << 64) - (1 << 30)
+
+    def h(*parts, seed=42):
+        for x in parts:
+            seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else (x & (1 << 64) - 1).to_bytes(8, "little"), seed)
+        return seed
+
+    def head(x):  # as a signed number
+        return ((x ^ 1 << 63) - (1 << 63)) >> 30
+
+    kmers = [head(h(*words[i : i + 2]) & high) for i in range(max(len(words) - 1, min(len(words), 1)))]
+    seen, points = Counter(), []
+    for i, k in enumerate(kmers):
+        x = xxhash.xxh64_intdigest(seen[k].to_bytes(4, "little"), h(k))
+        seen[k] += 1
+        points.append((head(x & high), i))
+    points.sort()
+    out = []
+    for r in range(64 if points else 0):
+        at = next((j for j, (x, _) in enumerate(points) if (x >> 28) + 32 >= r), 0)
+        pair = sorted({points[at], points[(at + 1) % len(points)]}, key=lambda p: p[1])
+        out.append((h(*(x for x, _ in pair)) & 0xFFFF) + (0x10000 if len(pair) > 1 else 0))
+    return out
+
+
+def likeness_by_hand(a, b):
+    if not a and not b:
+        return 1.0
+    share = sum(x == y for x, y in zip(a, b, strict=False)) / max(len(a), len(b))
+    jaccard = share ** (1 / (1 + sum(x >> 16 for x in a + b) / len(a + b)))
+    return 2 * jaccard / (1 + jaccard)
+
+
+@pytest.mark.parametrize("range_rows", [3, 20_000])
 def test_order_minhash(docs, rows, empty, range_rows, monkeypatch):
     monkeypatch.setattr(order_minhash, "RANGE_ROWS", range_rows)
     found = defaultdict(list)
-    for r in order_minhash.fingerprints(docs).collect():
+    for r in order_minhash.fingerprints(docs.withColumns({x: F.lit(0) for x in ("id", "mark", "own", "n", "half")})).collect():
         found[r.doc_id].append(r)
-    order = by_id(rows)
-    for i, r in enumerate(order):
-        text, after = r[1] or "", order[(i + 1) % len(order)][1] or ""
+    order = [k[:2] for k in sorted({(r[0], r[1] or "") for r in rows}, key=lambda r: (r[0] is None, r[0] or 0))]
+    for i, (doc_id, text) in enumerate(order):
+        after = order[(i + 1) % len(order)][1]
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        own = [x for x in found[r[0]] if x.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()]
+        own = [x for x in found[doc_id] if x.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()]
         assert own and own[0].n_chars == len(text)
-        assert 0 <= own[0].near_edited <= 1 and 0 <= own[0].near_next <= 1
+        a, b, c = (tuples_by_hand(x) for x in (text, edited, after))
+        assert own[0].fingerprint == "".join(f"{x:05X}" for x in a)
+        assert own[0].edited_fingerprint == "".join(f"{x:05X}" for x in b)
+        assert own[0].near_edited == pytest.approx(likeness_by_hand(a, b)) and own[0].near_next == pytest.approx(likeness_by_hand(a, c))
     assert sum(map(len, found.values())) == len(rows)
     assert len({r.fingerprint for i in (3, 4) for r in found[i]}) == 1
     assert order_minhash.fingerprints(empty).count() == 0
 
 
-def test_order_minhash_tuples_by_hand(spark):
+def test_order_minhash_of_moved_words(spark):
     """Occurrence numbers and order: the same words in another order share k-mers but not all tuples."""
     rng = random.Random(2)
     words = [sentence(rng, 1) for _ in range(300)]
     moved = words[150:] + words[:150]
-    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(moved)), (3, " ".join(words + ["end"])), (4, "a b a b a b"), (5, "a b")], "id int, t string")
-    t = {r.id: r.x for r in order_minhash._with_tuples(df, "t", "x").collect()}
-
-    def agree(a, b):
-        return len(set(t[a]) & set(t[b])) / len({x >> 17 for x in t[a]} | {x >> 17 for x in t[b]})
-
-    assert agree(1, 3) > 0.9 > 0.8 > agree(1, 2) > 0.3
-    assert len(t[4]) > len(t[5])  # a b, occurrence 0, 1, 2 and b a, occurrence 0, 1
+    swapped = [w for i in range(0, 300, 4) for w in words[i + 2 : i + 4] + words[i : i + 2]]
+    a, b, c, d = (tuples_by_hand(" ".join(x)) for x in (words, moved, [*words, "end"], swapped))
+    assert likeness_by_hand(a, c) > 0.95 > likeness_by_hand(a, b) > 0.6 > likeness_by_hand(a, d)
+    assert tuples_by_hand("a b a b a b") != tuples_by_hand("a b a b")
 
 
 # 4 ------------------------------------------------------------------------------------------
@@ -214,6 +310,53 @@ def test_language_of_awkward_rows(docs, empty):
     assert {r.lang_pred for r in language_bitmask.identify(nothing).collect()} == {"und"}
 
 
+def languages_by_hand(rows):
+    """Grams of each language counted, kept, and looked up in the slots of the filters one by one."""
+    fold = {b: b for b in range(128, 256)} | {b: b | 32 for b in range(65, 91)} | {b: b for b in range(97, 123)}
+
+    def grams(text):
+        data = bytes([32] * 3 + [fold.get(b, 32) for b in (text or "").encode()] + [32] * 3)
+        return [data[i : i + 4] for i in range(len(data) - 3) if data[i : i + 4] != b"    "]
+
+    learned = [r for r in rows if r[2] is not None and r[1] is not None and (r[0] is None or zlib.crc32(str(r[0]).encode()) % 4 != 2)]
+    sizes = Counter(r[2] for r in learned)
+    names = sorted(sizes, key=str.encode)
+    counts = {x: Counter(g for r in learned if r[2] == x for g in grams(r[1])) for x in names}
+    rates = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    table = defaultdict(set)
+
+    def slots(g):
+        return language_bitmask.slots_of(np.array([int.from_bytes(g, "big")]))[:, 0].tolist()
+
+    for x in names:
+        for g, n in counts[x].items():
+            if n >= 3 and rates[x][g] >= 0.25 * max(r.get(g, 0) for r in rates.values()):
+                for k in slots(g):
+                    table[k].add(x)
+    fill = {x: sum(x in held for held in table.values()) / language_bitmask.SLOTS for x in names}
+    out = []
+    for r in rows:
+        own = grams(r[1])
+        hits = Counter(x for g in own for x in set.intersection(*(table[k] for k in slots(g))))
+        votes = {x: max(0.0, (hits[x] / max(1, len(own)) - fill[x] ** 3) / (1 - fill[x] ** 3)) for x in names}
+        total = sum(votes.values())
+        best = max(names, key=lambda x: (votes[x], -names.index(x)))
+        if not any(unicodedata.category(c)[0] == "L" for c in r[1] or ""):
+            best, total = "und", 0
+        elif not total:
+            best = max(names, key=lambda x: (sizes[x], -names.index(x)))
+        out.append((r[0], best, round(votes[best] / total, 9) if total else 0.0))
+    return Counter(out)
+
+
+def test_language_by_hand(spark, rows):
+    numbers = [(40, "½ ² Ⅷ ① 12", "en", "a", 11), (41, "ª", "en", "a", 1), (42, "_ __", "en", "a", 4)]
+    docs = spark.createDataFrame(rows + numbers, SCHEMA).withColumns({x: F.lit(1) for x in ("gram", "n", "held_out", "slot")})
+    for parts in (1, 3):
+        found = language_bitmask.identify(docs.repartition(parts)).collect()
+        assert Counter((r.doc_id, r.lang_pred, round(r.score, 9)) for r in found) == languages_by_hand(rows + numbers)
+
+
 # 5 and 9 ------------------------------------------------------------------------------------
 
 
@@ -231,6 +374,16 @@ def test_part_ids_are_the_library_s(library):
         assert np.frombuffer(known.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_pretokens_count_as_the_library_does(library):
+    rng = random.Random(6)
+    alphabet = ["a", " ", "  ", "\n", "'s", "é", "<|endoftext|>", "\t", "1", ".", "　", "<|", "ß", "\x1c", "don't", "\xa0", "²", "日", "\r\n"]
+    for _ in range(2000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12)))
+        words, specials = pretokens(text, "byte_bpe_50k.json")
+        n = sum(len(library.encode(w, add_special_tokens=False).ids) for w in words)
+        assert n + specials == len(library.encode(text, add_special_tokens=False).ids), text
+
+
 @pytest.mark.parametrize("capacity", [1024, 7])
 def test_packing_round_trip(docs, rows, empty, library, capacity):
     found = packing.pack(docs, capacity=capacity, shard_sequences=50).toPandas()
@@ -478,6 +631,91 @@ def test_secrets_of_one_case_and_grouped_are_found(spark):
     assert [t for i, t in enumerate(plain, len(keys)) if found[i]] == []
 
 
+def token_spans_by_hand(text, library):
+    """Every run, part and stretch held to the ratio one by one; what fails is marked, and marks that touch are one span."""
+    uuid = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![A-Za-z0-9])")
+
+    def known(t):
+        return bool(uuid.fullmatch(t)) or (len(t) in (32, 40, 56, 64, 96, 128) and bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", t)))
+
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        run = m.group()
+        if len(run) < 16 or known(run):
+            continue
+        taken = [False] * len(run)
+        for _, a, b in secrets_by_hand(text):
+            for i in range(max(a, m.start()), min(b, m.end())):
+                taken[i - m.start()] = True
+        form = re.fullmatch(r"[_=+/-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)[_=+/-]+)*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)[_=+/-]*", run)
+        form = form or re.fullmatch(r"(?:[a-z]{2,}|[A-Z][a-z]{2,})(?:[A-Z][a-z]{2,})*[0-9]*", run)
+        if not any(taken) and not form and len(run) <= 1.9 * len(library.encode(run, add_special_tokens=False).ids):
+            out.append((m.start(), m.end()))
+            continue
+        for x in uuid.finditer(run):
+            taken[x.start() : x.end()] = [True] * len(x.group())
+        for x in re.finditer("[A-Za-z0-9]+", run):
+            if len(x.group()) in (32, 40, 56, 64, 96, 128) and known(x.group()):
+                taken[x.start() : x.end()] = [True] * len(x.group())
+        marked = [False] * (len(run) + 1)
+        begin = 0
+        for end in [i for i in range(len(run)) if taken[i]] + [len(run)]:
+            rest = run[begin:end]
+            if len(rest) >= 16:
+                edges = [b for _, b in library.encode(rest, add_special_tokens=False).offsets]
+                counts = [False] * len(rest)
+                parts = [x.span() for x in re.finditer("[A-Za-z0-9]+", rest)]
+                for a, b in parts:
+                    if b - a > 1 and not rest[a:b].isdigit():
+                        counts[a:b] = [True] * (b - a)
+                starts = [0, *edges]
+                tests = [(0, len(rest))] + [p for p in parts if p[1] - p[0] >= 16]
+                tests += [(a, next(b for b in edges if b - a >= 16)) for a in starts if edges[-1] - a >= 16]
+                for a, b in tests:
+                    chars = sum(counts[a:b])
+                    tokens = sum(counts[x] for x in starts[:-1] if a <= x < b)
+                    if 2 * chars >= 16 and chars <= 1.9 * tokens and not known(rest[a:b]):
+                        marked[begin + a : begin + b] = [True] * (b - a)
+            begin = end + 1
+        edge = [i for i in range(len(run) + 1) if marked[i] != (marked[i - 1] if i else False)]
+        out += [(m.start() + a, m.start() + b) for a, b in zip(edge[::2], edge[1::2])]
+    return out
+
+
+def test_token_spans_by_hand(spark, library):
+    rng = random.Random(14)
+    words = ["static", "assets", "production", "database", "index", "User", "ID", "2024", "0", "x"]
+    letters = string.ascii_letters + string.digits
+
+    def piece():
+        kind = rng.randrange(7)
+        if kind < 3:
+            return rng.choice(words)
+        if kind == 3:
+            return "".join(rng.choice(letters) for _ in range(rng.randint(3, 30)))
+        if kind == 4:
+            return "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((10, 23, 32, 40))))
+        return rng.choice(["AKIA" + "Q7" * 9, "123e4567-e89b-12d3-a456-426614174000", "token=abcdef12", "é", "password: hunter22"])
+
+    texts = ["".join(piece() + rng.choice(["/", "-", "_", " ", "", "+", "="]) for _ in range(rng.randint(1, 9))) for _ in range(600)]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    hits = 0
+    for r in secret_scan.scan(df).collect():
+        found = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("token")]
+        assert found == token_spans_by_hand(texts[r.doc_id], library), texts[r.doc_id]
+        hits += len(found)
+    assert hits > 100
+
+
+@pytest.mark.parametrize("text", ["a" * 10_000 + "Z", "abcdefgh" * 1250 + "Z9", "-" * 10_000 + "a", "Ab" * 5000, "0f" * 5000, "token" * 2000 + " " * 5000, "A" * 10_000 + "b"])
+def test_long_runs_end_soon(text):
+    began = time.monotonic()
+    coding = merges("byte_bpe_50k.json")
+    spans = secret_scan.base_spans(text)
+    secret_scan.random_spans(text, spans, lambda run: coding.decode_tokens_bytes(coding.encode_ordinary(run)))
+    assert time.monotonic() - began < 10
+
+
 # 10 -----------------------------------------------------------------------------------------
 
 
@@ -504,9 +742,10 @@ def repeats_by_hand(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("hot, collection", [(4000, 16_384), (2, 16_384), (4000, 3)])
-def test_repeats(docs, rows, empty, hot, collection, monkeypatch):
-    monkeypatch.setattr(column_bwt, "HOT", hot)
+@pytest.mark.parametrize("crowded, levels, collection", [(16_384, 6, 16_384), (1, 2, 16_384), (16_384, 6, 3)])
+def test_repeats(docs, rows, empty, crowded, levels, collection, monkeypatch):
+    monkeypatch.setattr(column_bwt, "CROWDED", crowded)
+    monkeypatch.setattr(column_bwt, "LEVELS", levels)
     monkeypatch.setattr(column_bwt, "COLLECTION", collection)
     found = Counter(map(tuple, column_bwt.remove_repeats(docs).collect()))
     assert found == repeats_by_hand(rows)
@@ -531,9 +770,83 @@ def test_collections_are_sorted_with_common_prefixes():
         assert least.tolist() == wanted
 
 
+def test_repeats_of_passages(spark, monkeypatch):
+    """Documents cut from shared passages with small edits, so that anchors have many strings of many owners."""
+    monkeypatch.setattr(column_bwt, "COLLECTION", 40)
+    rng = random.Random(12)
+    passages = [sentence(rng, 40) for _ in range(6)]
+    rows = []
+    for i in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            p = rng.choice(passages) if i % 3 else passages[0]
+            at = rng.randrange(len(p))
+            if rng.random() < 0.5:
+                p = p[:at] + rng.choice("xyz") + p[at + rng.randint(0, 2) :]
+            parts.append(p[rng.randrange(40) :] if rng.random() < 0.5 else p)
+        rows.append((rng.randrange(100), rng.choice(["", " own "]).join(parts), "en", "a", 0))
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({x: F.lit(0) for x in ("whole", "start", "anchor", "sid", "owner", "runs", "part")})
+    wanted = repeats_by_hand(rows)
+    # the smallest filters let much through that does not belong there
+    for crowded, levels, bits in ((16_384, 6, 1 << 28), (5, 3, 1 << 28), (16_384, 6, 64)):
+        monkeypatch.setattr(column_bwt, "MOST_BITS", bits)
+        monkeypatch.setattr(column_bwt, "CROWDED", crowded)
+        monkeypatch.setattr(column_bwt, "LEVELS", levels)
+        assert Counter(map(tuple, column_bwt.remove_repeats(docs).collect())) == wanted
+
+
+# all ----------------------------------------------------------------------------------------
+
+NAMES = (
+    "pattern", "rank", "size", "slice", "row", "rest", "piece", "times", "rare", "known", "spans", "shard", "start", "length", "sequence_id", "copy", "even",
+    "last", "mark", "digest", "n_shingles", "a", "b", "key", "node", "_pattern_of_row", "held_out", "word", "c0", "c1", "keep_id", "state",
+)
+
+
+def test_clashing_columns_change_nothing(docs, spark):
+    more = docs.withColumns({x: F.lit(7) for x in NAMES})
+    runs = [
+        stream_dedup.exact_dedup, tensor_minhash.near_duplicates, source_mixing.mix, secret_scan.scan, token_counts.count_tokens, language_bitmask.identify,
+        lambda d: packing.pack(d).drop("sequence_id", "offset"),
+    ]
+    for run in runs:
+        assert Counter(map(str, run(more).collect())) == Counter(map(str, run(docs).collect()))
+    assert source_mixing.mixed_documents(more).columns == more.columns
+
+
+def test_texts_of_a_megabyte(spark, library):
+    rng = random.Random(9)
+    words = [sentence(rng, 1) for _ in range(3000)]
+    solid, wordy = "ab" * 600_000, " ".join(rng.choice(words) for _ in range(200_000))
+    rows = [(1, solid, "en", "a", 0), (2, wordy, "en", "a", 0), (3, wordy + " end", "en", "b", 0), (4, "x", "en", "b", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    near = {r.doc_id: (r.component_id, r.n_shingles) for r in tensor_minhash.near_duplicates(docs).collect()}
+    assert {i: c for i, (c, _) in near.items()} == {1: 1, 2: 2, 3: 2, 4: 4} and near[2][1] == len(shingles(wordy))
+    prints = {r.doc_id: r for r in order_minhash.fingerprints(docs).collect()}
+    assert prints[2].near_next > 0.99 and prints[1].n_chars == 1_200_000
+    gone = {r.doc_id: r.n_removed for r in column_bwt.remove_repeats(docs).collect()}
+    assert gone == {1: 0, 2: 0, 3: len(wordy.encode()) + (" end"[0] == "x"), 4: 0}
+    assert {r.doc_id: r.keep_id for r in stream_dedup.exact_dedup(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert len(secret_scan.scan(docs).collect()) == len(language_bitmask.identify(docs).collect()) == 4
+    few = docs.filter("doc_id IN (2, 4)")
+    tokens = len(library.encode(wordy, add_special_tokens=False).ids)
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(few).collect()}[2] == tokens
+    assert packing.pack(few).agg(F.sum("length")).first()[0] == tokens + 1 + 2
+    assert {r.size for r in source_mixing.mix(docs).collect()} == {1, 200_000, 200_001}
+
+
 # pipeline -----------------------------------------------------------------------------------
 
 
+def test_pipeline_of_empty_and_awkward_tables(spark, docs, labels, empty, tmp_path):
+    for name, table in (("empty", empty), ("awkward", docs)):
+        folder = str(tmp_path / name)
+        table.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        found = corpus_pipeline.run(spark, folder)
+        assert (found.count() == 0) == (name == "empty") and "sequence_id" in found.columns
+
+
 def test_pipeline_stages(spark, library):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -553,3 +866,19 @@ def test_pipeline_stages(spark, library):
             mixed = after
     tokens = sum(len(library.encode(r[1], add_special_tokens=False).ids) + 1 for r in mixed)
     assert sum(r[2] for r in after) == tokens
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs whose similarity is 0.80 to 0.84: nearly all must be found, and no pair below 0.8."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(1200):
+        words = [f"{rng.randrange(10**6)}" for _ in range(120)]
+        other = list(words)
+        for at in rng.sample(range(0, 116, 4), rng.choice((3, 4))):
+            other[at] = "x"
+        rows += [(2 * i, " ".join(words), None, None, 0), (2 * i + 1, " ".join(other), None, None, 0)]
+    linked = {2 * i + 1 for i in range(1200) for a, b in [(shingles(rows[2 * i][1]), shingles(rows[2 * i + 1][1]))] if 100 * len(a & b) >= 80 * len(a | b)}
+    found = {r.doc_id for r in tensor_minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect() if not r.kept}
+    assert len(linked) > 500 and found <= linked
+    assert len(found) >= 0.995 * len(linked), (len(found), len(linked))
