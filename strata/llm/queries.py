@@ -10,6 +10,7 @@ from strata.llm import (
     language_bitmask,
     order_minhash,
     packing,
+    periodic_runs,
     secret_scan,
     source_mixing,
     stream_dedup,
@@ -111,6 +112,10 @@ def op10_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_bwt.remove_repeats(documents(spark, sf_dir))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_exact_dedup": op2_exact_dedup,
@@ -122,5 +127,6 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_column_bwt": op10_column_bwt,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op7_source_mixing": OP7_SQL}
