@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strata.llm import (
     column_bwt,
+    hard_negatives,
     importance_resampling,
+    jaccard_join,
     language_bitmask,
     order_minhash,
     packing,
@@ -112,6 +114,59 @@ def op10_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_bwt.remove_repeats(documents(spark, sf_dir))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS d, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT d, array_to_string(words[i:i + 3], ' ') AS shingle
+  FROM (SELECT d, words, unnest(range(1, greatest(2, len(words) - 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT d, count(*) AS n FROM s GROUP BY d),
+c AS (SELECT a.d AS x, b.d AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.d <> b.d GROUP BY a.d, b.d),
+l AS (
+  SELECT x, y FROM c JOIN n a ON a.d = x JOIN n b ON b.d = y
+  WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r AS (
+  SELECT d, d AS reached FROM w
+  UNION
+  SELECT r.d, l.y FROM r JOIN l ON l.x = r.reached)
+SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+FROM r JOIN w ON w.d = r.d JOIN w o ON o.d = r.reached LEFT JOIN n ON n.d = w.d
+GROUP BY w.d, w.doc_id
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.every_hundredth(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, positive_score, s.other_id AS negative_id, s.score AS negative_score,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank
+FROM p JOIN s USING (anchor_id)
+WHERE NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(documents(spark, sf_dir))
 
@@ -127,6 +182,13 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_column_bwt": op10_column_bwt,
+    "op11_jaccard_join": op11_jaccard_join,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op7_source_mixing": OP7_SQL}
+ORACLES = {
+    "op2_exact_dedup": OP2_SQL,
+    "op7_source_mixing": OP7_SQL,
+    "op11_jaccard_join": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
+}
