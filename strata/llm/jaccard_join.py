@@ -21,10 +21,11 @@ where D and E are their differences (missing and added alike), V and W their cos
 answer of one is derived from that of the other by the few shingles in which they
 differ.  V <= (100 - percent) * |P| says that a set is linked with the reference.  Two
 linked ones are in one component already; every other pair needs a common shingle of
-its differences, and is found by a prefix of these in bands of cost.  Of a template with
-any number of edited copies, only copies with common edits are compared.  Sets of
-different references meet in the lists, group by group, references first, and only if
-they are not in one component.  Each link is confirmed on full sets (64-bit hashes).
+its differences, and is found by lists of a prefix of these in bands of cost, each member
+with the first of its list before any other.  Of a template with any number of edited
+copies, only copies with common edits are compared.  Sets of different references meet
+in the lists, group by group, references first.  All but the first ones meet only if they
+are in different components.  Each link is confirmed on full sets (64-bit hashes).
 
 Defined results: null and empty texts, and texts of white space, have an empty set, no
 link and themselves as component; fewer than ``words`` words make one shingle; rows
@@ -39,8 +40,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.codes import steps
@@ -217,11 +217,22 @@ def _least(x: Column, by: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(x / by)).cast("long")
 
 
-def _derived(near: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of sets of one reference whose differences may have enough in common.
+def _unlike(u: DataFrame, v: DataFrame, key: list[str], by: list[str], meet: Column) -> DataFrame:
+    """Rows of ``u`` and ``v`` of one key and different values of ``by`` (called by_u and by_v), met value by value: rows that agree are never paired."""
+    values_u, values_v = u.select(*key, *(f"{x}_u" for x in by)).distinct(), v.select(*key, *(f"{x}_v" for x in by)).distinct()
+    meets = values_u.join(values_v, key).filter(meet)
+    return meets.join(u, [*key, *(f"{x}_u" for x in by)]).join(v, [*key, *(f"{x}_v" for x in by)])
+
+
+def _pairs(found: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    return found.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).filter("u != v").distinct()
+
+
+def _difference_lists(near: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Lists by difference of the sets that have one reference: those that look, and those that are looked at.
 
     ``near`` has node, pivot, size (of the reference), apart, d (how many these are),
-    cost and linked.  One of a pair at least is not linked with the reference.
+    cost and linked.  One of a pair at least is not linked with the reference: it looks.
     """
     all_, by = (100 - percent) * F.col("size"), 100 + percent
     near = near.withColumn("band", F.floor(F.log(BAND, F.col("cost").cast("double"))).cast("int"))
@@ -239,14 +250,33 @@ def _derived(near: DataFrame, percent: int) -> DataFrame:
     probe = own.filter("NOT linked").withColumn("keep", F.col("d") - _least(F.col("cost") + F.col("least") - all_, by) + 1)
     index = own.filter("least_open IS NOT NULL").withColumn("keep", F.col("d") - _least(F.col("cost") + F.col("least_open") - all_, by) + 1)
     probe = probe.join(tokens, "node").filter("pos < keep").select(
-        "pivot", F.col("band").alias("of_open"), F.col("other").alias("of_any"), "token", F.col("node").alias("u"), F.col("d") - F.col("pos"), "cost", "size"
-    ).toDF("pivot", "of_open", "of_any", "token", "u", "rest_u", "cost_u", "size")
+        "pivot", F.col("band").alias("of_open"), F.col("other").alias("of_any"), "token", F.col("node").alias("u"), (F.col("d") - F.col("pos")).alias("rest_u"),
+        F.col("cost").alias("cost_u"), "size",
+    )
     index = index.join(tokens, "node").filter("pos < keep").select(
-        "pivot", F.col("other").alias("of_open"), F.col("band").alias("of_any"), "token", F.col("node").alias("v"), F.col("d") - F.col("pos"), "cost", "linked"
-    ).toDF("pivot", "of_open", "of_any", "token", "v", "rest_v", "cost_v", "linked")
-    enough = F.least("rest_u", "rest_v") * by >= F.col("cost_u") + F.col("cost_v") - all_
-    pairs = probe.join(index, ["pivot", "of_open", "of_any", "token"]).filter(enough & (F.col("linked") | (F.col("u") < F.col("v"))) & (F.col("u") != F.col("v")))
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        "pivot", F.col("other").alias("of_open"), F.col("band").alias("of_any"), "token", F.col("node").alias("v"), (F.col("d") - F.col("pos")).alias("rest_v"),
+        F.col("cost").alias("cost_v"), "linked",
+    )
+    return probe, index
+
+
+LIST = ["pivot", "of_open", "of_any", "token"]
+
+
+def _derived_heads(probe: DataFrame, index: DataFrame) -> DataFrame:
+    """Pairs of each member of a list with the first of the other side of the list."""
+    first_u, first_v = probe.groupBy(*LIST).agg(F.min("u").alias("u")), index.groupBy(*LIST).agg(F.min("v").alias("v"))
+    return _pairs(probe.select(*LIST, "u").join(first_v, LIST).union(first_u.join(index.select(*LIST, "v"), LIST).select(*LIST, "u", "v")))
+
+
+def _derived(probe: DataFrame, index: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components whose differences may have enough in common."""
+    labels = labels.select("node", "label")
+    u = probe.join(labels.toDF("u", "label_u"), "u", "left").withColumn("label_u", F.coalesce("label_u", "u"))
+    v = index.join(labels.toDF("v", "label_v"), "v", "left").withColumn("label_v", F.coalesce("label_v", "v"))
+    enough = F.least("rest_u", "rest_v") * (100 + percent) >= F.col("cost_u") + F.col("cost_v") - (100 - percent) * F.col("size")
+    found = _unlike(u, v, LIST, ["label"], F.col("label_u") != F.col("label_v"))
+    return _pairs(found.filter(enough & (F.col("linked") | (F.col("u") < F.col("v")))))
 
 
 def _block(n: Column, percent: int) -> Column:
@@ -264,21 +294,18 @@ def _across(at: DataFrame, percent: int, heads: bool) -> DataFrame:
     top = F.least(F.floor(100 * F.col("n") / percent), F.floor((100 + percent) * left / percent) - F.col("n")).cast("long")
     at = at.withColumns({"top": top, "block": _block(F.col("n"), percent)})
     index = at.filter("top >= n").withColumn("block", F.explode(F.sequence("block", _block(F.col("top"), percent))))
-    sums = [F.min("n").alias("n_least"), F.max("n").alias("n_most"), F.max("top").alias("top_most"), F.min("label").alias("low"), F.max("label").alias("high")]
-    key = ["token", "block", "pivot"]
-    small = index.groupBy(*key).agg(*sums).toDF("token", "block", "pivot_u", "n_u", "_n", "top_u", "low_u", "high_u").drop("_n")
-    large = at.groupBy(*key).agg(*sums).toDF("token", "block", "pivot_v", "n_v", "n_most", "top_v", "low_v", "high_v")
-    one = (F.col("low_u") == F.col("high_u")) & (F.col("low_v") == F.col("high_v")) & (F.col("low_u") == F.col("low_v"))
-    meets = small.join(large, ["token", "block"]).filter(
-        (F.col("pivot_u") != F.col("pivot_v")) & ~one & (F.col("n_u") <= F.col("n_most")) & (F.col("n_v") <= F.col("top_u")) & (F.col("n_u") <= F.col("top_v"))
-    )
+    apart = (F.col("pivot_u") != F.col("pivot_v")) & (F.col("label_u") != F.col("label_v"))
     if heads:
-        return meets.select(F.least("pivot_u", "pivot_v").alias("u"), F.greatest("pivot_u", "pivot_v").alias("v")).distinct()
-    u = index.select("token", "block", F.col("pivot").alias("pivot_u"), F.col("node").alias("u"), F.col("n").alias("size_u"), F.col("top").alias("most_u"), F.col("label").alias("label_u"))
-    v = at.select("token", "block", F.col("pivot").alias("pivot_v"), F.col("node").alias("v"), F.col("n").alias("size_v"), F.col("top").alias("most_v"), F.col("label").alias("label_v"))
-    pairs = meets.select("token", "block", "pivot_u", "pivot_v").join(u, ["token", "block", "pivot_u"]).join(v, ["token", "block", "pivot_v"])
-    pairs = pairs.filter("label_u != label_v AND size_u <= size_v AND size_v <= most_u AND size_u <= most_v AND (size_u < size_v OR u < v)")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        key, by = ["token", "block"], ["pivot", "label"]
+        small = index.groupBy(*key, *by).agg(F.min("n"), F.max("top")).toDF(*key, "pivot_u", "label_u", "least_u", "top_u")
+        large = at.groupBy(*key, *by).agg(F.min("n"), F.max("n"), F.max("top")).toDF(*key, "pivot_v", "label_v", "least_v", "most_v", "top_v")
+        meets = small.join(large, key).filter(apart & (F.col("least_u") <= F.col("most_v")) & (F.col("least_v") <= F.col("top_u")) & (F.col("least_u") <= F.col("top_v")))
+        return _pairs(meets, "pivot_u", "pivot_v")
+    names = ("pivot", "label", "node", "n", "top")
+    u = index.select("token", "block", *(F.col(x).alias(f"{x}_u") for x in names))
+    v = at.select("token", "block", *(F.col(x).alias(f"{x}_v") for x in names))
+    pairs = _unlike(u, v, ["token", "block"], ["pivot", "label"], apart)
+    return _pairs(pairs.filter("n_u <= n_v AND n_v <= top_u AND n_u <= top_v"), "node_u", "node_v")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -313,7 +340,11 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     )
     near = work.write(near.withColumn("linked", F.col("cost") <= (100 - percent) * F.col("size")), "near")
     links = near.filter("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
-    derived = work.write(_derived(near, percent), "derived")
+    probe, index = (work.write(x, name) for x, name in zip(_difference_lists(near, percent), ("looking", "looked-at"), strict=True))
+    first = work.write(_derived_heads(probe, index), "derived-first")
+    links = links.union(work.write(_links(first, sets, percent), "links-first"))
+    derived = _derived(probe, index, work.write(components(links, "jaccard-components"), "labels-first"), percent)
+    derived = work.write(derived.join(first, ["u", "v"], "left_anti"), "derived")
     links = links.union(work.write(_links(derived, sets, percent), "links-derived"))
 
     at = members.select("token", "node", "n", "pos").join(near.select("node", "pivot"), "node", "left").withColumn("pivot", F.coalesce("pivot", "node"))
@@ -331,6 +362,6 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     found = nodes.select("digest", "node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = found.groupBy("label").agg(F.min("first_id").alias("component_id"))
     found = found.join(least, "label").select("digest", "component_id")
-    for name in ("members", "wanted", "sets", "near", "mixedTrue", "mixedFalse"):
+    for name in ("members", "wanted", "sets", "near", "looking", "looked-at", "mixedTrue", "mixedFalse"):
         work.drop(name)
     return hashed.join(found, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
