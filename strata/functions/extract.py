@@ -1,141 +1,33 @@
 """Entities of source files: a partition of the text into named pieces.
 
 The pieces of a file are in order, contiguous, and give the text when put
-together.  A piece is a preamble (what comes before all else, without the white
-space after it), an import block, a declaration or an interstitial (what lies
-between).  Python is cut by its own
-grammar; brace languages by top-level declarations, whose ends are found by
-counting braces outside strings and comments; other files are one interstitial.
+together.  A piece is a preamble (a package clause, or what comes before all else),
+an import block, a declaration, a statement, what closes a container, or an
+interstitial: white space, a comment that stands alone, one that documents the next
+piece, or a note on the last line of the one before.  ``strata.functions.cutter``
+finds them; a text without grammar or without declarations is one interstitial.
+
+Keys identify a piece across revisions.  A declaration goes by kind, container, name and
+header, a comment by what it says or documents, a statement by its head; white space
+alone goes by its neighbours, so only white space can be moved by an insertion.
 """
 
 from __future__ import annotations
 
-import ast
 from collections.abc import Iterator
 import hashlib
-import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
-Piece = tuple[int, int, str, str, str, str]  # start, end, kind, decl_kind, receiver, name
-
-# How top-level declarations and imports begin, by language.
-DECLARATIONS = {
-    "go": r"(?P<kind>func|type|var|const)\b\s*(?:\((?P<recv>[^)]*)\)\s*)?(?P<name>\w+)?",
-    "rust": r"(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+)*(?P<kind>fn|struct|enum|trait|impl|mod|const|static|type)\b\s*(?:<[^>]*>\s*)?(?P<name>\w+)?",
-    "typescript": r"(?:export\s+)?(?:default\s+)?(?:async\s+)?(?P<kind>function|class|interface|type|enum|const|let|var)\b\s*(?P<name>\w+)?",
-    "javascript": r"(?:export\s+)?(?:default\s+)?(?:async\s+)?(?P<kind>function|class|const|let|var)\b\s*(?P<name>\w+)?",
-    "c": r"(?:static\s+|inline\s+|extern\s+)*(?P<kind>struct|enum|union|typedef|[\w*]+)\s+\**(?P<name>\w+)\s*[({=;]",
-}
-IMPORTS = {"go": r"import\b", "rust": r"(?:pub\s+)?use\b", "typescript": r"import\b", "javascript": r"import\b", "c": r"#include\b"}
-# The grammars' names of what a keyword declares.
-KINDS = {
-    "go": {"func": "function_declaration", "type": "type_declaration", "var": "var_declaration", "const": "const_declaration"},
-    "rust": {
-        "fn": "function_item", "struct": "struct_item", "enum": "enum_item", "trait": "trait_item", "impl": "impl_item", "mod": "mod_item",
-        "const": "const_item", "static": "static_item", "type": "type_item",
-    },
-    "typescript": {
-        "function": "function_declaration", "class": "class_declaration", "interface": "interface_declaration", "type": "type_alias_declaration",
-        "enum": "enum_declaration", "const": "lexical_declaration", "let": "lexical_declaration", "var": "variable_declaration",
-    },
-    "javascript": {
-        "function": "function_declaration", "class": "class_declaration", "const": "lexical_declaration", "let": "lexical_declaration",
-        "var": "variable_declaration",
-    },
-    "c": {"struct": "struct_specifier", "enum": "enum_specifier", "union": "union_specifier", "typedef": "type_definition"},
-}
-_SKIP = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|`[^`]*`|'(?:\\.|[^'\\\n])'|[{}()\n]", re.S)
-
-
-def _python(text: str) -> list[Piece]:
-    try:
-        body = ast.parse(text).body
-    except (SyntaxError, ValueError):
-        return []
-    starts = [0]
-    for line in text.splitlines(keepends=True):
-        starts.append(starts[-1] + len(line))
-    bytes_of = [x.encode() for x in text.splitlines(keepends=True)]
-
-    def at(line: int, column: int) -> int:
-        return starts[line - 1] + len(bytes_of[line - 1][:column].decode())
-
-    found: list[Piece] = []
-    for node in body:
-        first = min([node, *getattr(node, "decorator_list", [])], key=lambda n: n.lineno)
-        begin, end = at(first.lineno, 0), at(node.end_lineno, node.end_col_offset)
-        if isinstance(node, (ast.Import, ast.ImportFrom)):
-            if found and found[-1][2] == "import_block" and not text[found[-1][1] : begin].strip():
-                found[-1] = (found[-1][0], end, *found[-1][2:])
-            else:
-                found.append((begin, end, "import_block", "", "", ""))
-        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            kind = "class_definition" if isinstance(node, ast.ClassDef) else "function_definition"
-            kind = "decorated_definition" if node.decorator_list else kind
-            found.append((begin, end, "declaration", kind, "", node.name))
-    return found
-
-
-def _end(text: str, begin: int) -> int:
-    """The end of a declaration: of its last bracket at depth 0, or of its line if none is open."""
-    depth = 0
-    for m in _SKIP.finditer(text, begin):
-        c = m.group()
-        if c in "{(":
-            depth += 1
-        elif c in "})":
-            depth -= 1
-        elif c == "\n" and depth <= 0:
-            return m.start()
-    return len(text)
-
-
-def _braces(text: str, language: str) -> list[Piece]:
-    starts = re.compile(rf"^(?:(?P<import>{IMPORTS[language]})|{DECLARATIONS[language]})", re.M)
-    found: list[Piece] = []
-    at = 0
-    while (m := starts.search(text, at)) is not None:
-        end = max(_end(text, m.start()), m.end())
-        if m["import"]:
-            if found and found[-1][2] == "import_block" and not text[found[-1][1] : m.start()].strip():
-                found[-1] = (found[-1][0], end, *found[-1][2:])
-            else:
-                found.append((m.start(), end, "import_block", "", "", ""))
-        else:
-            groups = m.groupdict()
-            receiver = (groups.get("recv") or "").strip().split(" ")[-1].lstrip("*") if m["name"] else ""
-            kind = KINDS[language].get(m["kind"], "function_definition")
-            if m.group().startswith("export"):
-                kind = "export_statement"
-            kind = "method_declaration" if receiver else kind
-            found.append((m.start(), end, "declaration", kind, receiver, m["name"] or ""))
-        at = end
-    return found
-
-
-def pieces(text: str, language: str) -> list[Piece]:
-    """All pieces of a text, gaps included; an empty text has none."""
-    if not text:
-        return []
-    found = _python(text) if language == "python" else _braces(text, language) if language in DECLARATIONS else []
-    out: list[Piece] = []
-    at = 0
-    for piece in found:
-        if piece[0] > at:
-            lead = at if out else at + len(text[at : piece[0]].rstrip())
-            if lead > at:
-                out.append((at, lead, "preamble", "", "", ""))
-            if piece[0] > lead:
-                out.append((lead, piece[0], "interstitial", "", "", ""))
-        out.append(piece)
-        at = piece[1]
-    if at < len(text):
-        out.append((at, len(text), "interstitial", "", "", ""))
-    return out
+from strata.functions.cutter import cut
+
+
+def pieces(text: str, language: str) -> list[tuple[int, int, str, str, str, str]]:
+    """(start, end, kind, decl_kind, receiver, name) of all pieces of a text; an empty text has none."""
+    return [(p.start, p.end, p.kind, p.decl_kind, p.receiver, p.name) for p in cut(text, language)]
 
 
 def signature(body: str) -> str:
@@ -156,35 +48,46 @@ _ROW = T.StructType(
 
 
 def entities(text: str, language: str) -> list[dict]:
-    """The rows of a text's pieces.
-
-    Ordinals count earlier pieces of the same kind, name and signature.  Keys
-    identify a piece across revisions; what lies between goes by its neighbours.
-    """
-    seen: dict[tuple, int] = {}
+    """The rows of a text's pieces; ordinals count earlier pieces that would have the same key."""
+    seen: dict[str, int] = {}
     byte, line, out = 0, 1, []
-    for pos, (begin, end, kind, decl_kind, receiver, name) in enumerate(pieces(text or "", language or "")):
-        body = text[begin:end]
-        header = signature(body) if kind == "declaration" else ""
-        same = (kind, decl_kind, receiver, name, header)
-        ordinal = 0 if kind == "interstitial" else seen.get(same, 0)
-        seen[same] = ordinal + 1
-        key = f"decl:{decl_kind}:{receiver}:{name}:{header or '-'}:{ordinal}" if kind == "declaration" else f"{kind}:{ordinal}"
+    found = cut(text or "", language or "")
+    for pos, p in enumerate(found):
+        body = text[p.start : p.end]
+        header = signature(body) if p.kind == "declaration" else ""
+        if p.kind == "declaration":
+            base = f"decl:{p.decl_kind}:{p.receiver}:{p.name}:{header or '-'}"
+        elif p.kind == "statement":
+            base = f"stmt:{p.receiver}:{p.label}"
+        elif p.kind == "closing":
+            base = f"closing:{p.label}"
+        elif p.label == "comment":
+            base = f"comment:{hashlib.sha256(body.strip().encode()).hexdigest()}"
+        else:
+            base = p.kind
+        ordinal = 0 if p.kind == "interstitial" and p.label != "comment" else seen.get(base, 0)
+        seen[base] = ordinal + 1
         data = body.encode()
         last = line + body.count("\n")
         out.append(
             {
-                "pos": pos, "kind": kind, "decl_kind": decl_kind, "receiver": receiver, "name": name, "signature": header, "ordinal": ordinal,
-                "key": key, "body": body, "body_hash": hashlib.sha256(data).hexdigest(), "start_byte": byte, "end_byte": byte + len(data),
+                "pos": pos, "kind": p.kind, "decl_kind": p.decl_kind, "receiver": p.receiver, "name": p.name, "signature": header, "ordinal": ordinal,
+                "key": f"{base}:{ordinal}", "body": body, "body_hash": hashlib.sha256(data).hexdigest(), "start_byte": byte, "end_byte": byte + len(data),
                 "start_line": line, "end_line": last - body.endswith("\n"),
             }
         )
         byte, line = byte + len(data), last
-    named = [e["key"] if e["kind"] != "interstitial" else None for e in out]
-    for i, e in enumerate(out):
-        if e["kind"] == "interstitial":
-            before = next((k for k in reversed(named[:i]) if k), "")
-            e["key"] = f"between:{before}:{next((k for k in named[i + 1 :] if k), '')}"
+    before, after, after_of = "", "", [""] * len(out)
+    for i in range(len(out) - 1, -1, -1):
+        after_of[i] = after
+        after = out[i]["key"] if out[i]["kind"] != "interstitial" else after
+    for p, e, after in zip(found, out, after_of, strict=True):
+        if e["kind"] != "interstitial":
+            before = e["key"]
+        elif p.label in ("doc", "note"):
+            e["key"] = f"{p.label}:{after if p.label == 'doc' else before}"
+        elif not p.label:
+            e["key"] = f"between:{before}:{after}"
     return out
 
 
