@@ -66,6 +66,9 @@ _SCANNERS = {
     "c": rf"(?P<c>{_LINE}|{_BLOCK})|(?P<d>^[ \t]*\#(?:\\\n|/\*.*?(?:\*/|\Z)|[^\n])*)|(?P<s>{_QUOTED}|'(?:\\.|[^'\\\n])*')|{_WORD}",
 }
 _SCANNERS["javascript"] = _SCANNERS["typescript"]
+_SCANNERS["python"] = (
+    rf"(?P<c>\#[^\n]*)|(?P<s>[rRbBuUfF]{{0,2}}(?:\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z)|'''(?:\\.|[^\\])*?(?:'''|\Z)|{_QUOTED}|'(?:\\.|[^'\\\n])*(?:'|(?=\n)|\Z)))|{_WORD}"
+)
 _COMPILED = {k: re.compile(rf"\s*(?:{v}|(?P<p>\S))", re.S | re.M) for k, v in _SCANNERS.items()}
 _REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/\w*")
 #: Words after which a slash begins a regular expression.
@@ -75,6 +78,10 @@ _IN_TEMPLATE = re.compile(r"\\.|`|\$\{", re.S)
 OPEN = {"(": ")", "[": "]", "{": "}"}
 
 
+def can_scan(language: str) -> bool:
+    return language in _COMPILED
+
+
 def _nested_comment(text: str, at: int) -> int:
     depth = 1
     for m in _NESTED.finditer(text, at):
