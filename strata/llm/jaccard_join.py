@@ -4,7 +4,7 @@ Documents with equal sets are one class, the unit of all that follows.  A set's
 shingles are put in a global order, rare ones first (by hashed counts over all
 documents, then by hash).  Sets that link share a shingle among their first
 n - ceil(percent * n / 100) + 1, so the index has a list of (set, size, position) for
-each of these.  An entry at position i has r = n - i shingles left, and a link needs
+each of these (and for n // MORE more, so that sets without that many shared entries drop out).  An entry at position i has r = n - i shingles left, and a link needs
 percent * (n + m) / (100 + percent) in common: that bounds the size m of the partner.
 Lists are kept in blocks by size, and an entry looks at the blocks alone that its
 position leaves open.
@@ -24,8 +24,8 @@ linked ones are in one component already; every other pair needs a common shingl
 its differences, and is found by lists of a prefix of these in bands of cost, each member
 with the first of its list before any other.  Of a template with any number of edited
 copies, only copies with common edits are compared.  Sets of different references meet
-in the lists, group by group, references first.  All but the first ones meet only if they
-are in different components.  Each link is confirmed on full sets (64-bit hashes).
+in the lists, group by group: references first, then each with the first of the other
+group.  All others meet only if they are in different components.  Each link is confirmed on full sets (64-bit hashes).
 
 Defined results: null and empty texts, and texts of white space, have an empty set, no
 link and themselves as component; fewer than ``words`` words make one shingle; rows
@@ -40,8 +40,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+import zstandard
 
 from strata.llm.codes import steps
 from strata.llm.common import Workspace, bit_table, flat_utf8
@@ -51,9 +53,11 @@ from strata.llm.tensor_minhash import set_digests, shingle_sets
 WORDS = 4
 PERCENT = 85
 #: Shingles of a counter on average, and counters at most (one byte each is broadcast).
-SHINGLES_OF_COUNTER = 128
-MOST_COUNTERS = 1 << 24
-COUNTERS_OF_BLOCK = 4_096
+SHINGLES_OF_COUNTER = 8
+MOST_COUNTERS = 1 << 26
+COUNTERS_OF_BLOCK = 65_536
+#: Linked sets of n share 1 + n // MORE entries at least, because the index has n // MORE more of each set than one would need.
+MORE = 40
 #: Size blocks for each factor of 100 / percent, and the factor of a band of costs.
 BLOCKS_OF_RANGE = 4
 BAND = 1.25
@@ -82,37 +86,37 @@ def _hashed(docs: DataFrame, words: int) -> DataFrame:
 def _levels(docs: DataFrame, words: int, size: int) -> np.ndarray:
     """How often shingles of each counter occur in all documents, on a logarithmic scale of one byte."""
 
+    block = min(size, COUNTERS_OF_BLOCK)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(size, np.int64)
+        counts = np.zeros(size, np.int32)
         for batch in batches:
             for _, _, data, offsets in steps(batch.column(0)):
                 sets, _ = shingle_sets(data, offsets, words)
-                counts += np.bincount((sets & np.uint64(size - 1)).astype(np.int64), minlength=size)
-        blocks = counts.astype(np.int32).reshape(-1, min(size, COUNTERS_OF_BLOCK))
-        for i in range(0, len(blocks), 64):
-            part = blocks[i : i + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part))), pa.array([b.tobytes() for b in part], pa.binary())], ["block", "counts"])
+                np.add.at(counts, (sets & np.uint64(size - 1)).astype(np.int64), 1)
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for i in range(0, size, block):
+            held = squeeze.compress(counts[i : i + block].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([i // block]), pa.array([held], pa.binary())], ["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = np.frombuffer(counts, np.int32).astype(np.int64)
-                sums[block] = sums[block] + counts if block in sums else counts
+            for at, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts = np.frombuffer(zstandard.decompress(held), np.int32)
+                sums[at] = sums.get(at, 0) + counts.astype(np.int64)
         levels = [np.minimum(255, 6 * np.log2(1.0 + s)).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(levels, pa.binary())], ["block", "levels"])
 
     counted = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(count, "block long, counts binary")
     out = np.zeros(size, np.uint8)
     for r in counted.repartition("block").mapInArrow(add, "block long, levels binary").collect():
-        held = np.frombuffer(r.levels, np.uint8)
-        out[r.block * len(held) : (r.block + 1) * len(held)] = held
+        out[r.block * block : (r.block + 1) * block] = np.frombuffer(r.levels, np.uint8)
     return out
 
 
-def _prefixes(docs: DataFrame, words: int, percent: int, levels: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, words: int, percent: int, shared: Broadcast) -> DataFrame:
     """(digest, prefix): the first shingles of every set in the global order, each set once a batch."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
@@ -125,14 +129,14 @@ def _prefixes(docs: DataFrame, words: int, percent: int, levels: np.ndarray) ->
                     if digest and digest not in found:
                         own, n = sets[at[i] : at[i + 1]], int(at[i + 1] - at[i])
                         order = np.argsort(level[at[i] : at[i + 1]], kind="stable")  # the set is in order of its hashes
-                        found[digest] = own[order[: n + percent * n // -100 + 1]].tobytes()
+                        found[digest] = own[order[: n + percent * n // -100 + 1 + n // MORE]].tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["digest", "prefix"])
 
     return docs.select(docs["text"].cast("string").alias("text")).mapInArrow(cut, "digest binary, prefix binary")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, n, members) of the sets of ``wanted`` (node, digest, n), a table."""
+def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> tuple[DataFrame, Broadcast]:
+    """(node, n, members) of the sets of ``wanted`` (node, digest, n), a table; and the filter that finds them."""
     size = 1 << min(MOST_BITS.bit_length() - 1, max(16, math.ceil(math.log2(1 + 16 * wanted.count()))))
 
     def bit_of(digests: list[bytes]) -> np.ndarray:
@@ -160,24 +164,26 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in found], pa.binary()), pa.array(members, pa.binary())], ["digest", "members"])
 
     found = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(sets_of, "digest binary, members binary")
-    return found.join(wanted, "digest").dropDuplicates(["node"]).select("node", "n", "members")
+    return found.join(wanted, "digest").dropDuplicates(["node"]).select("node", "n", "members"), shared
 
 
-def _unfold(df: DataFrame, ids: str, held: str) -> DataFrame:
-    """(node, token, pos): the entries of a column of 8-byte shingles."""
+def _unfold(df: DataFrame, carried: list[str], held: str) -> DataFrame:
+    """The long columns ``carried``, token and pos: one row for each entry of a column of 8-byte shingles."""
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(x) // 8 for x in batch.column(1).to_pylist()], np.int64)
-            data, _ = flat_utf8(batch.column(1))
-            node = np.repeat(batch.column(0).to_numpy(), sizes)
-            pos = np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            sizes = np.array([len(x) // 8 for x in batch.column(len(carried)).to_pylist()], np.int64)
+            data, _ = flat_utf8(batch.column(len(carried)))
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            pos = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             token = np.frombuffer(data.tobytes(), np.int64)
-            for i in range(0, len(node), ROWS):
+            own = [batch.column(i).to_numpy() for i in range(len(carried))]
+            for i in range(0, len(of), ROWS):
                 part = slice(i, i + ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(token[part]), pa.array(pos[part].astype(np.int32))], ["node", "token", "pos"])
+                columns = [*(pa.array(x[of[part]]) for x in own), pa.array(token[part]), pa.array(pos[part].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, [*carried, "token", "pos"])
 
-    return df.select(ids, held).mapInArrow(unfold, "node long, token long, pos int")
+    return df.select(*carried, held).mapInArrow(unfold, ", ".join(f"{c} long" for c in carried) + ", token long, pos int")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
@@ -238,7 +244,7 @@ def _difference_lists(near: DataFrame, percent: int) -> tuple[DataFrame, DataFra
     near = near.withColumn("band", F.floor(F.log(BAND, F.col("cost").cast("double"))).cast("int"))
     open_ = near.filter("NOT linked").select("pivot").distinct()
     near = near.join(open_, "pivot", "left_semi")
-    tokens = _unfold(near, "node", "apart").join(near.select("node", "pivot"), "node")
+    tokens = _unfold(near, ["node", "pivot"], "apart")
     often = tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("often"))
     # rare differences first; those that one set alone has keep their places but need no list
     place = F.row_number().over(Window.partitionBy("node").orderBy("often", "token")) - 1
@@ -283,11 +289,29 @@ def _block(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) * (BLOCKS_OF_RANGE / math.log(100 / min(percent, 99)))).cast("int")
 
 
-def _across(at: DataFrame, percent: int, heads: bool) -> DataFrame:
+def _possible(members: DataFrame, percent: int) -> DataFrame:
+    """The entries of sets that share enough of them with sets of fitting sizes, whichever these are."""
+    need = 1 + F.floor(F.col("n") * percent / (100 * MORE))  # for a partner of the least size
+    enough = members.groupBy("node", "n").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= need).select("node")
+    members = members.join(enough, "node", "left_semi")
+    # up to n // MORE entries before this one may be shared
+    left = F.col("n") - F.col("pos") + F.floor(F.col("n") / MORE)
+    top = F.least(F.floor(100 * F.col("n") / percent), F.floor((100 + percent) * left / percent) - F.col("n")).cast("long")
+    at = members.select("token", "node", "n", _block(F.col("n"), percent).alias("block"), top.alias("top"))
+    small = at.filter("top >= n").withColumn("block", F.explode(F.sequence("block", _block(F.col("top"), percent))))
+    both = at.withColumn("role", F.lit(0)).unionByName(small.withColumn("role", F.lit(1)))
+    ends = [f(F.when(F.col("role") == r, F.col("node"))).alias(x) for r, f, x in ((0, F.min, "a"), (0, F.max, "b"), (1, F.min, "c"), (1, F.max, "d"))]
+    meets = both.groupBy("token", "block").agg(*ends).filter("a IS NOT NULL AND c IS NOT NULL AND NOT (a = b AND c = d AND a = c)").select("token", "block")
+    able = both.join(meets, ["token", "block"]).select("node", "n", "token").distinct().groupBy("node", "n").agg(F.count(F.lit(1)).alias("k"))
+    return members.join(able.filter(F.col("k") >= need).select("node"), "node", "left_semi")
+
+
+def _across(at: DataFrame, percent: int, phase: str) -> DataFrame:
     """Pairs (u, v) of sets of different references and components that a list brings together.
 
-    ``at`` has token, node, n, pos, pivot and label.  With ``heads`` the pairs are the
-    references of groups that meet, else the sets themselves.
+    ``at`` has token, node, n, pos, pivot and label.  Groups of one reference and component
+    meet in a list: in the phase heads by their references, in the phase first each
+    member with the first of the other group, in the phase all each with each.
     """
     left = F.col("n") - F.col("pos")
     # of a set at least as large, and of one at most as large
@@ -295,17 +319,21 @@ def _across(at: DataFrame, percent: int, heads: bool) -> DataFrame:
     at = at.withColumns({"top": top, "block": _block(F.col("n"), percent)})
     index = at.filter("top >= n").withColumn("block", F.explode(F.sequence("block", _block(F.col("top"), percent))))
     apart = (F.col("pivot_u") != F.col("pivot_v")) & (F.col("label_u") != F.col("label_v"))
-    if heads:
-        key, by = ["token", "block"], ["pivot", "label"]
-        small = index.groupBy(*key, *by).agg(F.min("n"), F.max("top")).toDF(*key, "pivot_u", "label_u", "least_u", "top_u")
-        large = at.groupBy(*key, *by).agg(F.min("n"), F.max("n"), F.max("top")).toDF(*key, "pivot_v", "label_v", "least_v", "most_v", "top_v")
-        meets = small.join(large, key).filter(apart & (F.col("least_u") <= F.col("most_v")) & (F.col("least_v") <= F.col("top_u")) & (F.col("least_u") <= F.col("top_v")))
+    key, names = ["token", "block"], ("pivot", "label", "node", "n", "top")
+    u, v = (df.select(*key, *(F.col(x).alias(f"{x}_{s}") for x in names)) for df, s in ((index, "u"), (at, "v")))
+    by_u, by_v = ([*key, f"pivot_{s}", f"label_{s}"] for s in "uv")
+    fits = "n_u <= n_v AND n_v <= top_u AND n_u <= top_v"
+    if phase == "all":
+        return _pairs(_unlike(u, v, key, ["pivot", "label"], apart).filter(fits), "node_u", "node_v")
+    small = u.groupBy(*by_u).agg(F.min("n_u").alias("n_u"), F.max("top_u").alias("top_u"))
+    large = v.groupBy(*by_v).agg(F.min("n_v").alias("least_v"), F.max("n_v").alias("n_v"), F.max("top_v").alias("top_v"))
+    meets = small.join(large, key).filter(apart & F.expr("n_u <= n_v AND least_v <= top_u AND n_u <= top_v")).select(*by_u, *by_v[2:])
+    if phase == "heads":
         return _pairs(meets, "pivot_u", "pivot_v")
-    names = ("pivot", "label", "node", "n", "top")
-    u = index.select("token", "block", *(F.col(x).alias(f"{x}_u") for x in names))
-    v = at.select("token", "block", *(F.col(x).alias(f"{x}_v") for x in names))
-    pairs = _unlike(u, v, ["token", "block"], ["pivot", "label"], apart)
-    return _pairs(pairs.filter("n_u <= n_v AND n_v <= top_u AND n_u <= top_v"), "node_u", "node_v")
+    first_u = u.groupBy(*by_u).agg(F.min(F.struct("node_u", "n_u", "top_u")).alias("f")).select(*by_u, "f.*")
+    first_v = v.groupBy(*by_v).agg(F.min(F.struct("node_v", "n_v", "top_v")).alias("f")).select(*by_v, "f.*")
+    found = meets.join(u, by_u).join(first_v, by_v).unionByName(meets.join(first_u, by_u).join(v, by_v))
+    return _pairs(found.filter(fits), "node_u", "node_v")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -316,19 +344,26 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     total = hashed.agg(F.sum("n_shingles")).first()[0] or 0
     levels = _levels(docs, words, 1 << min(MOST_COUNTERS.bit_length() - 1, max(12, (total // SHINGLES_OF_COUNTER).bit_length())))
     classes = hashed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"))
-    prefixes = _prefixes(docs, words, percent, levels).dropDuplicates(["digest"])
+    shared = spark.sparkContext.broadcast(levels)
+    prefixes = _prefixes(docs, words, percent, shared).dropDuplicates(["digest"])
     # written once: the numbers of the nodes last
     nodes = work.write(classes.join(prefixes, "digest").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    shared.destroy()
+    del levels
 
-    lists = _unfold(nodes, "node", "prefix").join(nodes.select("node", "n"), "node")
+    lists = _unfold(nodes, ["node", "n"], "prefix")
+    repeated = lists.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("token")
+    members = _possible(work.write(lists.join(repeated, "token"), "shared"), percent)
+    members = work.write(members, "possible")
     # the earliest place in its own order first: the set with the fewest shingles of its own; 10 bits, 53 for the node
     rank = F.shiftleft(F.floor(F.col("pos") * 1023 / F.col("n")).cast("long"), 53).bitwiseOR(F.col("node"))
-    shared = lists.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(rank).alias("rank")).filter("low < high")
-    shared = shared.select("token", F.col("rank").bitwiseAND(F.lit((1 << 53) - 1)).alias("pivot"))
-    members = work.write(lists.join(shared, "token"), "members")
+    pivots = members.groupBy("token").agg(F.min(rank).bitwiseAND(F.lit((1 << 53) - 1)).alias("pivot"))
+    members = work.write(members.join(pivots, "token"), "members")
 
     wanted = work.write(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest", "n"), "wanted")
-    sets = work.write(_full_sets(docs, wanted, words), "sets")
+    sets, shared = _full_sets(docs, wanted, words)
+    sets = work.write(sets, "sets")
+    shared.destroy()
 
     by_list = members.filter("node != pivot").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("lists"))
     most = by_list.groupBy("node").agg(F.max(F.struct("lists", (-F.col("pivot")).alias("p"))).alias("m"))
@@ -340,28 +375,39 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     )
     near = work.write(near.withColumn("linked", F.col("cost") <= (100 - percent) * F.col("size")), "near")
     links = near.filter("linked").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+    # what is linked with a reference is in its component; whole components where it matters
+    labels, whole = near.filter("linked").select("node", F.col("pivot").alias("label")), near.filter("linked").isEmpty()
+
+    def confirmed(pairs: DataFrame, name: str, relabel: bool) -> None:
+        """Add the links among new pairs."""
+        nonlocal links, labels, whole
+        new = work.write(_links(pairs, sets, percent), f"links-{name}")
+        if not new.isEmpty():
+            links, whole = links.union(new), relabel
+            if relabel:
+                labels = work.write(components(links, "jaccard-components"), f"labels-{name}")
+
     probe, index = (work.write(x, name) for x, name in zip(_difference_lists(near, percent), ("looking", "looked-at"), strict=True))
-    first = work.write(_derived_heads(probe, index), "derived-first")
-    links = links.union(work.write(_links(first, sets, percent), "links-first"))
-    derived = _derived(probe, index, work.write(components(links, "jaccard-components"), "labels-first"), percent)
-    derived = work.write(derived.join(first, ["u", "v"], "left_anti"), "derived")
-    links = links.union(work.write(_links(derived, sets, percent), "links-derived"))
+    first = work.write(_derived_heads(probe, index), "first")
+    confirmed(first, "first", relabel=True)
+    derived = _derived(probe, index, labels, percent)
+    confirmed(work.write(derived.join(first, ["u", "v"], "left_anti"), "derived"), "derived", relabel=False)
 
     at = members.select("token", "node", "n", "pos").join(near.select("node", "pivot"), "node", "left").withColumn("pivot", F.coalesce("pivot", "node"))
     tested = near.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
-    for heads in (True, False):
-        labels = work.write(components(links, "jaccard-components"), f"labels{heads}")
+    for name in ("heads", "first", "all"):
         labelled = at.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-        labelled = work.write(labelled.join(mixed, "token"), f"mixed{heads}")
-        pairs = work.write(_across(labelled, percent, heads).join(tested, ["u", "v"], "left_anti"), f"pairs{heads}")
+        labelled = work.write(labelled.join(mixed, "token"), f"mixed-{name}")
+        pairs = work.write(_across(labelled, percent, name).join(tested, ["u", "v"], "left_anti"), f"across-{name}")
         tested = tested.union(pairs)
-        links = links.union(work.write(_links(pairs, sets, percent), f"links{heads}"))
-    labels = work.write(components(links, "jaccard-components"), "labels")
+        confirmed(pairs, f"across-{name}", relabel=True)
+    if not whole:
+        labels = work.write(components(links, "jaccard-components"), "labels")
 
     found = nodes.select("digest", "node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = found.groupBy("label").agg(F.min("first_id").alias("component_id"))
     found = found.join(least, "label").select("digest", "component_id")
-    for name in ("members", "wanted", "sets", "near", "looking", "looked-at", "mixedTrue", "mixedFalse"):
+    for name in ("shared", "possible", "members", "wanted", "sets", "looking", "looked-at", "mixed-heads", "mixed-first", "mixed-all"):
         work.drop(name)
     return hashed.join(found, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
