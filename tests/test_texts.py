@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 import pytest
 
+from strata.functions import lines
 from strata.functions.extract import extract_entities, pieces
 from strata.functions.lines import edit_script, merge3, merge_texts, similarity, split_lines
 from strata.operators import renames
@@ -86,6 +88,28 @@ def test_equal_scripts_are_told_apart():
     assert edit_script("a", "b") == [("-", "a"), ("+", "b")]
 
 
+def test_scripts_are_shortest_and_the_same_however_many_bands_are_kept(monkeypatch):
+    rng = random.Random(11)
+    for _ in range(300):
+        letters = "abcdefgh"[: rng.choice([1, 2, 3, 8])]
+        a, b = ([rng.choice(letters) for _ in range(rng.randrange(30))] for _ in range(2))
+        monkeypatch.setattr(lines, "BANDS", 256)
+        monkeypatch.setattr(lines, "FEW", 100)
+        script = edit_script(a, b)
+        assert [s for op, s in script if op != "+"] == a and [s for op, s in script if op != "-"] == b
+        assert sum(op == "=" for op, _ in script) == common(a, b)
+        monkeypatch.setattr(lines, "FEW", rng.choice([0, 2, 7]))
+        monkeypatch.setattr(lines, "BANDS", rng.choice([1, 2, 5]))
+        assert edit_script(a, b) == script
+
+
+def test_long_texts_without_a_common_line_take_little_memory():
+    tracemalloc.start()
+    script = edit_script([f"a{i}" for i in range(3_000)], [f"b{i}" for i in range(3_000)])
+    assert len(script) == 6_000 and tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
 def test_similarity():
     assert similarity("", "") == 1.0
     assert similarity("a\nb\nc\nd", "a\nb\nc\nx") == 0.75
