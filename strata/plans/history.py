@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.operators import graph as G
+from strata.operators import reach as R
 from strata.operators.tables import settled
 from strata.plans.registry import query, table
 
@@ -217,6 +218,23 @@ def ancestor_nth_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_first_parent_all(spark, sf_dir).filter("depth = 5").select("tip", "node")
 
 
+@query(DAG + "r(tip, node) AS (SELECT o_orderkey, o_orderkey FROM orders UNION SELECT r.tip, e.parent FROM r JOIN e ON e.child = r.node)," + GENERATION + """,
+p AS (SELECT o_orderkey AS a, (o_orderkey * 5 + 1) % (SELECT max(o_orderkey) + 1 FROM orders) AS b FROM orders),
+s AS (SELECT tip, count(*) AS n FROM r GROUP BY tip),
+c AS (SELECT p.a, p.b, count(*) AS shared, arg_max(x.node, generation * 1000000000 - x.node) AS base
+  FROM p JOIN r x ON x.tip = p.a JOIN r y ON y.tip = p.b AND y.node = x.node JOIN gen ON gen.node = x.node GROUP BY p.a, p.b)
+SELECT p.a, p.b, coalesce(base = p.b, FALSE) AS a_has_b, coalesce(base = p.a, FALSE) AS b_has_a, sa.n - coalesce(shared, 0) AS ahead, sb.n - coalesce(shared, 0) AS behind, base
+FROM p LEFT JOIN c USING (a, b) JOIN s sa ON sa.tip = p.a JOIN s sb ON sb.tip = p.b
+""")
+def pairs_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every commit with another one: who has whom, how far they are apart, and their merge base, from labels instead of closures."""
+    nodes, edges = _commits(spark, sf_dir).select("node"), _edges(spark, sf_dir)
+    places, steps = R.labels(nodes, edges)
+    size = nodes.agg(F.max("node")).first()[0] + 1
+    pairs = nodes.select(F.col("node").alias("a"), ((F.col("node") * 5 + 1) % size).alias("b"))
+    return R.compared(places, steps, R.generations(places, edges), pairs)
+
+
 VERSIONS = CHAIN + """
 , v AS (SELECT c.tip, c.depth, c.node, o_custkey AS author, o_orderstatus || CAST(o_orderkey % 3 AS VARCHAR) AS body FROM c JOIN orders ON o_orderkey = c.node),
 l AS (SELECT *, lead(body) OVER (PARTITION BY tip ORDER BY depth) AS parent_body FROM v)
