@@ -116,3 +116,9 @@ def test_members():
     assert merge_members("import_block", "", "python", "import a\n", "import a\nimport b as c\n", "from d import e, f\n") == "from d import e\nfrom d import f\nimport b as c\n"
     assert merge_members("import_block", "", "rust", "use a::b;\n", "use a::b;\npub use c;\n", "use a::b;\nuse x::{y, z};\n") == "pub use c;\nuse a::b;\nuse x::{y, z};\n"
     assert merge_members("import_block", "", "typescript", "", "import A from 'm'", "import B from 'm'") is None
+
+
+def test_bodies_are_moved_once_and_no_hashes(spark):
+    rows = matched(versions(files(spark, {"renamed.go", "clash.go"})))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert "body_hash" not in rows.select("base.*").columns
