@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from strata.functions.members import merge_members
 from strata.operators.entity_merge import matched, merge_files, resolved, versions, with_renames
+from strata.plans.structural import source_files
 
 HEAD = 'package main\n\nimport "fmt"\n'
 HELLO = 'func Hello() {\n\tfmt.Println("hello")\n}'
@@ -122,3 +123,8 @@ def test_bodies_are_moved_once_and_no_hashes(spark):
     rows = matched(versions(files(spark, {"renamed.go", "clash.go"})))
     assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert "body_hash" not in rows.select("base.*").columns
+
+
+def test_source_files_are_dealt_out_once(spark):
+    plan = source_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
