@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.operators import graph
+from strata.operators.tables import settled
 
 
 def entry_hash(prev: Column, body: Column) -> Column:
@@ -59,7 +60,8 @@ def appended(new: DataFrame, *order: str, heads: DataFrame | None = None) -> Dat
     else:
         last = heads.select(F.col("log").alias("_log"), F.col("head").alias("_head"), (F.col("place") + 1).cast("long").alias("_place"))
         rows = rows.join(last, F.col("log").eqNullSafe(F.col("_log")), "left").drop("_log").fillna(0, ["_place"])
-    ordered = rows.repartition("log").sortWithinPartitions("log", *(f"_o{i}" for i in range(len(order))), "body")
+    # dealt by a value that no join before gives: Spark leaves out a repartition by the keys of one, and may later read that join's rows where they lie
+    ordered = rows.repartition(F.xxhash64("log")).sortWithinPartitions("log", *(f"_o{i}" for i in range(len(order))), "body")
     kinds = [new.schema["log"], *(T.StructField(n, k()) for n, k in (("place", T.LongType), ("hash", T.StringType), ("prev", T.StringType), ("body", T.StringType)))]
     return ordered.select("log", "body", "_head", "_place").mapInArrow(_linked, T.StructType(kinds))
 
@@ -70,19 +72,17 @@ def walked(entries: DataFrame, heads: DataFrame, limit: int | None = None) -> Da
     heads: log, head and, if read on, cursor: the last entry that was seen.  A walk ends where an entry is missing, and
     a cursor that is gone stops nothing, so a reader whose place was pruned gets all that is there.
     """
-    node = F.struct("log", "hash").alias("node")
     held = entries.select("log", "hash", "prev", "body").dropDuplicates(["log", "hash"])
-    links = held.filter("prev IS NOT NULL").select(node.alias("child"), F.struct("log", F.col("prev").alias("hash")).alias("parent"), F.lit(0).alias("ord"))
-    there = held.select(node)
-    links = links.join(there.withColumnRenamed("node", "parent"), "parent", "left_semi")
-    tips = heads.select(F.struct("log", F.col("head").alias("hash")).alias("node")).join(there, "node", "left_semi")
-    chain = graph.chain(links, tips)
+    held = settled(held.withColumn("node", F.monotonically_increasing_id()))  # pointers are numbers, a tenth of the hashes
+    links = held.select("log", F.col("prev").alias("hash"), F.col("node").alias("child")).join(held.select("log", "hash", F.col("node").alias("parent")), ["log", "hash"])
+
+    def numbered(name: str) -> DataFrame:
+        return heads.select("log", F.col(name).alias("hash")).join(held.select("log", "hash", "node"), ["log", "hash"]).select("node")
+
+    chain = graph.chain(links.select("child", "parent", F.lit(0).alias("ord")), numbered("head"), limit)
     if "cursor" in heads.columns:
-        seen = heads.filter("cursor IS NOT NULL").select(F.struct("log", F.col("cursor").alias("hash")).alias("node"))
-        chain = graph.until(chain, seen)
-    if limit is not None:
-        chain = chain.filter(F.col("depth") < limit)
-    return chain.select("node.log", F.col("node.hash").alias("hash"), F.col("depth").alias("step")).join(held, ["log", "hash"]).select("log", "step", "hash", "prev", "body")
+        chain = graph.until(chain, numbered("cursor"))
+    return chain.select("node", F.col("depth").alias("step")).join(held, "node").select("log", "step", "hash", "prev", "body")
 
 
 def newest(entries: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def pruned(entries: DataFrame, heads: DataFrame, keep: int) -> DataFrame:
 
     Logs with no more than ``keep`` entries stay as they are.
     """
-    walk = walked(entries, heads.select("log", "head"))
+    walk = walked(entries, heads.select("log", "head"), keep + 1)
     length = walk.groupBy("log").agg((F.max("step") + 1).alias("_n"))
     walk = walk.join(length, "log")
     short = walk.filter(F.col("_n") <= keep).select("log", (F.col("_n") - 1 - F.col("step")).alias("place"), "hash", "prev", "body")

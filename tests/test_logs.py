@@ -97,6 +97,17 @@ def test_pruned_logs_are_linked_anew(linked, keep):
     assert as_logs(A.pruned(named, A.newest(named), keep).collect()) == wanted
 
 
+def test_logs_are_dealt_anew_behind_a_join_by_log(spark):
+    """Spark leaves out a repartition by the keys of a join and, once a side turns out small, reads its rows where they lie: logs began anew in each task."""
+    rows = [(f"log{n}", i, f'"n":{n},"i":{i}') for n in range(9) for i in range(30)]
+    new = spark.createDataFrame(rows, NEW)
+    sizes = new.groupBy("log").count().filter("count > 3").hint("merge")
+    found = A.appended(new.join(sizes, "log"), "seq")
+    assert "REPARTITION_BY_COL" in found._jdf.queryExecution().executedPlan().toString()
+    found = as_logs(found.collect())
+    assert all(found[f"log{n}"] == link([body for log, _, body in rows if log == f"log{n}"]) for n in range(9))
+
+
 def test_branches_are_put_behind_each_other(spark):
     base = link(["1", "2", "3"])
     ours, theirs = link(["o1", "o2"], base[-1][0]), link(["t1", "t2", "t3"], base[1][0])
