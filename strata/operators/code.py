@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.lines import edit_script_udf
+from strata.functions.lines import with_edit_script
 from strata.functions.scalars import display_name, is_exported, qualified_name
 
 # How an export's key begins, by declaration kind.
@@ -107,7 +107,7 @@ def line_diff_text(changes: DataFrame) -> DataFrame:
             F.concat(F.lit("--- a/"), label, listed(F.col("before_body"), "-"))
         ),
     )
-    ops = changes.filter("change = 'modified'").withColumn("ops", edit_script_udf("before_body", "after_body"))
+    ops = with_edit_script(changes.filter("change = 'modified'"), "before_body", "after_body")
     text = F.array_join(F.transform("ops", lambda x: F.concat(F.translate(x["op"], "=", " "), x["line"], F.lit("\n"))), "")
     ops = ops.withColumn("text", F.concat(F.lit("--- a/"), label, F.lit("+++ b/"), label, text)).drop("ops")
     return plain.unionByName(ops).select("path", "key", "text")

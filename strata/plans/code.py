@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.extract import extracted
-from strata.functions.lines import edit_script_udf
+from strata.functions.lines import with_edit_script
 from strata.operators import code as C
 from strata.operators import entity_merge as M
 from strata.plans.registry import query, table
@@ -158,4 +158,4 @@ def hunk_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hunks of each document against itself with every twentieth line rewritten: where they begin and how long they are."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     edited = F.array_join(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 20 == 10, F.lit("rewritten")).otherwise(x)), "\n")
-    return C.hunk_ranges(d.select("doc_id", edit_script_udf("text", edited).alias("ops")), "doc_id")
+    return C.hunk_ranges(with_edit_script(d.select("doc_id", "text", edited.alias("edited")), "text", "edited"), "doc_id")

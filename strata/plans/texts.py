@@ -49,7 +49,7 @@ def _third() -> Column:
 
 
 def _script_counts(d: DataFrame, at: Column) -> DataFrame:
-    d = d.select("doc_id", L.edit_script_udf(F.col("text"), _replaced(at, "rewritten")).alias("ops"))
+    d = L.with_edit_script(d.select("doc_id", "text", _replaced(at, "rewritten").alias("edited")), "text", "edited")
 
     def count(op: str) -> Column:
         return F.size(F.filter("ops", lambda o: o["op"] == op)).cast("long")
