@@ -35,18 +35,39 @@ def exports(entities: DataFrame) -> DataFrame:
     return rows.filter("key IS NOT NULL").groupBy("package", "key").agg(F.max("name").alias("name"), F.max("file").alias("file"))
 
 
+#: What ``exports`` and ``references`` read of entities.
+EXPORT_COLUMNS, REFERENCE_COLUMNS = ("kind", "decl_kind", "receiver", "name"), ("kind", "name", "start_line", "body")
+REFERENCE_KINDS = ("import_block", "declaration")
+
+
 def references(entities: DataFrame) -> DataFrame:
-    """name, file, entity, line of every ``alias.Name`` in a declaration, the alias resolved by the file's imports."""
-    quoted = F.explode(F.regexp_extract_all("body", F.lit(r'(?m)^\s*(?:import\s+)?(\w+\s+)?"([^"]+)"'), F.lit(0)))
-    imports = entities.filter("kind = 'import_block'").select("path", quoted.alias("spec"))
-    target = F.regexp_extract("spec", r'"([^"]+)"', 1)
-    alias = F.trim(F.regexp_replace(F.regexp_extract("spec", r'^\s*(?:import\s+)?(\w*)\s*"', 1), r"\s", ""))
-    imports = imports.select("path", target.alias("target"), F.when(alias != "", alias).otherwise(F.substring_index(target, "/", -1)).alias("alias"))
-    lines = entities.filter("kind = 'declaration'").select("path", "name", "start_line", F.posexplode(F.split("body", "\n")).alias("i", "text"))
-    used = lines.select("path", F.col("name").alias("entity"), (F.col("start_line") + F.col("i")).alias("line"), F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z_]\w*\.[A-Z]\w*"), F.lit(0))).alias("used"))
-    used = used.select("path", "entity", "line", F.substring_index("used", ".", 1).alias("alias"), F.substring_index("used", ".", -1).alias("name"))
-    found = used.join(imports, ["path", "alias"])
-    return found.select(F.concat("target", F.lit("."), "name").alias("name"), F.col("path").alias("file"), "entity", "line")
+    """name, file, entity, line of every ``alias.Name`` in a declaration, the alias resolved by the file's imports.
+
+    The entities are read once: imports and uses leave them as rows without bodies, which meet by file and alias.
+    """
+    def parsed(spec: Column) -> Column:
+        target = F.regexp_extract(spec, r'"([^"]+)"', 1)
+        alias = F.trim(F.regexp_replace(F.regexp_extract(spec, r'^\s*(?:import\s+)?(\w*)\s*"', 1), r"\s", ""))
+        return _use(F.when(alias != "", alias).otherwise(F.substring_index(target, "/", -1)), target)
+
+    def uses(line: Column, i: Column) -> Column:
+        used = F.regexp_extract_all(line, F.lit(r"\b[A-Za-z_]\w*\.[A-Z]\w*"), F.lit(0))
+        return F.transform(used, lambda x: _use(F.substring_index(x, ".", 1), None, F.substring_index(x, ".", -1), F.col("name"), F.col("start_line") + i))
+
+    quoted = F.regexp_extract_all("body", F.lit(r'(?m)^\s*(?:import\s+)?(\w+\s+)?"([^"]+)"'), F.lit(0))
+    found = F.when(F.col("kind") == "import_block", F.transform(quoted, parsed)).when(F.col("kind") == "declaration", F.flatten(F.transform(F.split("body", "\n"), uses)))
+    rows = entities.select("path", F.explode(found).alias("x")).select("path", "x.*")
+    use = F.when(F.col("target").isNull(), F.struct("name", "entity", "line"))
+    met = rows.groupBy("path", "alias").agg(F.collect_list("target").alias("targets"), F.collect_list(use).alias("uses")).filter(F.size("targets") > 0)
+    each = met.select("path", F.explode("targets").alias("target"), "uses").select("path", "target", F.explode("uses").alias("use"))
+    return each.select(F.concat("target", F.lit("."), "use.name").alias("name"), F.col("path").alias("file"), "use.entity", "use.line")
+
+
+def _use(alias: Column, target: Column | None, name: Column | None = None, entity: Column | None = None, line: Column | None = None) -> Column:
+    text = lambda c: F.lit(None).cast("string") if c is None else c
+    return F.struct(
+        alias.alias("alias"), text(target).alias("target"), text(name).alias("name"), text(entity).alias("entity"), (F.lit(None) if line is None else line).cast("int").alias("line")
+    )
 
 
 def impact(changes: DataFrame, exported: DataFrame, calls: DataFrame, module: Column) -> DataFrame:
