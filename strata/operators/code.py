@@ -7,11 +7,16 @@ against each name.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.functions.extract import entities as cut_entities
 from strata.functions.lines import with_edit_script
 from strata.functions.scalars import display_name, is_exported, qualified_name
+from strata.operators.tables import settled
 
 # How an export's key begins, by declaration kind.
 KEY_KINDS = {"function_declaration": "func", "method_declaration": "method", "type_declaration": "type", "var_declaration": "var", "const_declaration": "const"}
@@ -108,6 +113,43 @@ def entity_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.select("path", "key", F.coalesce("a.name", "b.name").alias("name"), change.alias("change"), F.col("b.body").alias("before_body"), F.col("a.body").alias("after_body"), F.coalesce("b.pos", "a.pos").alias("pos"))
 
 
+_CHANGED = "path string, key string, change string, before_body string, after_body string, pos int, kind string, decl_kind string, receiver string, own string"
+
+
+def file_changes(files: DataFrame, before: str, after: str) -> DataFrame:
+    """``entity_changes`` of two versions that stand in one row (path, lang): each is cut once, and only what differs leaves Python.
+
+    There is one row for each path; equal versions are not cut.
+    """
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for path, lang, b, a in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (b or "") != (a or ""):
+                    out += _changed(path, _by_key(b, lang), _by_key(a, lang))
+            columns = list(zip(*out, strict=True)) or [()] * 10
+            kinds = [pa.int32() if i == 5 else pa.string() for i in range(10)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _CHANGED.split(", ")])
+
+    found = files.select("path", "lang", before, after).mapInArrow(rows, _CHANGED)
+    name = display_name(F.col("kind"), F.col("decl_kind"), F.col("receiver"), F.col("own"), F.col("key"))
+    return found.select("path", "key", name.alias("name"), "change", "before_body", "after_body", "pos")
+
+
+def _by_key(text: str | None, language: str) -> dict[str, dict]:
+    """What stands between entities left out; the first of equal keys counts."""
+    return {e["key"]: e for e in reversed(cut_entities(text or "", language)) if e["kind"] != "interstitial"}
+
+
+def _changed(path: str, before: dict[str, dict], after: dict[str, dict]) -> Iterator[tuple]:
+    for key in {**before, **after}:
+        b, a = before.get(key), after.get(key)
+        if b is None or a is None or b["body"] != a["body"]:
+            named, first = a or b, b or a
+            change = "added" if b is None else "removed" if a is None else "modified"
+            yield path, key, change, b and b["body"], a and a["body"], first["pos"], named["kind"], named["decl_kind"], named["receiver"], named["name"]
+
+
 def entity_diff_text(changes: DataFrame) -> DataFrame:
     """path, text: one line for each changed entity, as people read it."""
     mark = F.when(F.col("change") == "added", "+").when(F.col("change") == "removed", "-").otherwise("~")
@@ -122,6 +164,7 @@ def line_diff_text(changes: DataFrame) -> DataFrame:
         return F.array_join(F.transform(F.split(F.rtrim(body), "\n"), lambda x: F.concat(F.lit(mark), x, F.lit("\n"))), "")
 
     label = F.concat("path", F.lit("::"), "name", F.lit("\n"))
+    changes = settled(changes)  # both branches read it
     plain = changes.filter("change != 'modified'").withColumn(
         "text",
         F.when(F.col("change") == "added", F.concat(F.lit("+++ b/"), label, listed(F.col("after_body"), "+"))).otherwise(
@@ -168,3 +211,23 @@ def applied_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     rows = files.join(edits.select("path", "key", F.col("body").alias("new_body")), ["path", "key"], "left")
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("new_body", "body").alias("body"))))
     return rows.groupBy("path").agg(F.array_join(ordered["body"], "").alias("text"))
+
+
+def picked(files: DataFrame, name: str, into: str, source: str) -> DataFrame:
+    """path, text: ``applied_edits`` of the entities of a name in one version (path, lang) to another in the same row; no bodies are moved.
+
+    Texts without the name in the version that is picked from stay as they are; empty ones have no row.
+    """
+    def edited(text: str, other: str, language: str) -> str:
+        if name not in other or text == other:
+            return text
+        new = {e["key"]: e["body"] for e in cut_entities(other, language) if e["name"] == name}
+        return "".join(new.get(e["key"], e["body"]) for e in cut_entities(text, language))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, languages, texts, others = (c.to_pylist() for c in batch.columns)
+            out = [(p, edited(t, o or "", lang)) for p, lang, t, o in zip(paths, languages, texts, others, strict=True) if t]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in (0, 1)], ["path", "text"])
+
+    return files.select("path", "lang", into, source).mapInArrow(rows, "path string, text string")

@@ -99,8 +99,7 @@ def entity_diff_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = source_files(spark, sf_dir)
-    return C.entity_changes(extracted(files, ["path"], "base"), extracted(files, ["path"], "ours"))
+    return C.file_changes(source_files(spark, sf_dir), "base", "ours")
 
 
 @query(CHANGED_SQL + f"""
